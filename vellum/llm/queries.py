@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, quality, shared, simhash
+from vellum.llm import chat, mixing, pii, quality, secret_scan, shared, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,30 @@ FROM marked GROUP BY conv_id"""
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.score_quality(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def _told(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.expr("filter(spans, s -> s.base)")
+    number = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    rows = rows.withColumn("base", base)
+    return rows.select("doc_id", *number, F.sha2(F.expr(_told("base")), 256).alias("base_sha256"), F.expr(_told("spans")).alias("spans"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("base", F.expr(f"filter(spans, s -> s.rank < {len(secret_scan.KINDS)})"))
+    number = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k[0]}')) AS bigint)").alias(f"n_{k[0]}") for k in secret_scan.KINDS]
+    return rows.select("doc_id", *number, F.sha2(F.expr(_told("base")), 256).alias("base_sha256"), F.expr(_told("spans")).alias("spans"))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
