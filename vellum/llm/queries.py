@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, mixing, pii, quality, secret_scan, shared, simhash
+from vellum.llm import chat, mixing, pii, quality, secret_scan, shared, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+    machine = toxicity.learn(docs, labels.filter(~held_out("doc_id")))
+    rows = toxicity.score(docs, machine)
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

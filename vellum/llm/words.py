@@ -50,10 +50,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of consecutive texts: byte bounds in ``data``, the text each belongs to, ``first[i]:first[i+1]`` of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, row: int, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, row: int, lower: bool = False, separator: np.ndarray = SEPARATOR):
         self.data = LOWER[data] if lower else data
         self.offsets, self.row, self.n_docs = offsets, row, len(offsets) - 1
-        inside = ~SEPARATOR[self.data]
+        inside = ~separator[self.data]
         n = len(inside)
         start, last = inside.copy(), inside.copy()
         if n:
@@ -106,10 +106,10 @@ def span_hash(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return mix((p[z] - p[a]) * down[a])
 
 
-def chunks(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def chunks(column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Iterator[Words]:
     """The texts of a column, some at a time; null counts as empty. ``row`` is the first text's place in the column."""
     for data, offsets, row in raw_chunks(column):
-        yield Words(data, offsets, row, lower)
+        yield Words(data, offsets, row, lower, separator)
 
 
 def raw_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
