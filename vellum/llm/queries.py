@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, mixing, pii, quality, secret_scan, shared, simhash, toxicity
+from vellum.llm import chat, lm_scoring, mixing, pii, quality, secret_scan, shared, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.learn(docs, labels.filter(~held_out("doc_id")))
     rows = toxicity.score(docs, machine)
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    rows = lm_scoring.score(table(spark, sf_dir, "documents"), ~held_out)
+    return rows.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
