@@ -9,10 +9,10 @@ rows meet in one task, and each of its prefixes is rendered, so the cost grows w
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,13 +40,18 @@ class Tagged:
         return s.replace("&gt;", ">").replace("&lt;", "<").replace("&amp;", "&")
 
     def __call__(self, messages: list[Message]) -> str:
-        return "".join(f"{self.opening}{self.escape(r)}{self.middle}{self.escape(t)}{self.closing}" for r, t in messages)
+        return "".join([_turn(self, r, t) for r, t in messages])
 
     def read(self, formatted: str) -> list[Message]:
         turn = re.compile(f"{re.escape(self.opening)}([^<>]*){re.escape(self.middle)}([^<>]*){re.escape(self.closing)}")
         return [(self.unescape(m[1]), self.unescape(m[2])) for m in turn.finditer(formatted)]
 
 
+@lru_cache(1024)
+def _turn(template: Tagged, role: str, text: str) -> str:
+    return f"{template.opening}{template.escape(role)}{template.middle}{template.escape(text)}{template.closing}"
+
+
 @dataclass(frozen=True)
 class Turn:
     """Places in the formatted text: of the whole turn and of its content. rewrites: earlier output changed at this turn."""
@@ -59,24 +64,48 @@ class Turn:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    """How many characters both begin with: whole slices are compared, halving what is unsettled."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _frame(render: Callable[[list[Message]], str], head: list[Message], role: str) -> tuple[int, int]:
+    """Where the content of a turn after head begins, and how much follows it: two renderings that differ in it alone say so."""
+    one, other = (render([*head, (role, probe)]) for probe in "01")
+    return _common(one, other), _common(one[::-1], other[::-1])
 
 
 def locate(render: Callable[[list[Message]], str], messages: list[Message]) -> tuple[str, list[Turn]]:
     """Renders successive prefixes and says where each turn came to stand.
 
-    A turn's output is what follows the part that its rendering shares with the one before. Its content starts where
-    renderings with two different probe texts first differ, and is longer than an empty text's by what it holds.
+    A turn's output is what follows the part that its rendering shares with the one before. Its content is what lies between
+    the parts that stay when the content changes. What stays is found with probes once for each pair of neighbouring roles,
+    and again for every turn at which it isn't found in its place or earlier output has changed.
     """
     before, turns = render([]), []
+    frames: dict[tuple[str | None, str], tuple[str, str]] = {}
     for i, (role, text) in enumerate(messages):
-        head = messages[:i]
-        now = render([*head, (role, text)])
-        start = _common(before, now)
+        head, key = messages[:i], (messages[i - 1][0] if i else None, role)
+        now = render(messages[: i + 1])
+        start = len(before) if now.startswith(before) else _common(before, now)
         rewrites = start < len(before)
-        at = _common(render([*head, (role, "")]), render([*head, (role, "")]))
-        size = len(now) - len(render([*head, (role, "")]))
-        turns.append(Turn(start, len(now), at, at + max(0, size), rewrites))
+        opening, closing = frames.get(key, (None, None))
+        fits = opening is not None and not rewrites and now.startswith(opening, start) and now.endswith(closing) and len(now) - start >= len(opening) + len(closing)
+        if fits:
+            turns.append(Turn(start, len(now), start + len(opening), len(now) - len(closing), False))
+        else:
+            at, after = _frame(render, head, role)
+            turns.append(Turn(start, len(now), at, max(at, len(now) - after), rewrites))
+            if not rewrites and at >= start:
+                frames[key] = (now[start:at], now[len(now) - after :])
         before = now
     return before, turns
 
