@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, lm_scoring, mixing, pii, quality, secret_scan, shared, simhash, toxicity
+from vellum.llm import chat, lm_scoring, mixing, phrases, pii, quality, secret_scan, shared, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,9 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = lm_scoring.score(table(spark, sf_dir, "documents"), ~held_out)
     return rows.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
