@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, lm_scoring, mixing, phrases, pii, quality, secret_scan, shared, simhash, toxicity
+from vellum.llm import chat, decontam, lm_scoring, mixing, phrases, pii, quality, secret_scan, shared, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,9 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = phrases.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "contaminated", "items", F.round("share", 6).alias("share"))
