@@ -36,6 +36,7 @@ SHARD_PHRASES = 8000
 FILTER_BYTES = 64 << 20
 FILTER_PARTS = 64
 FLUSH_ROWS = 400_000
+HOT_SHARE = 20_000
 _KEY = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -58,7 +59,7 @@ class Stretches:
         cut = np.flatnonzero((place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)) + 1
         first, last = np.append(0, cut), np.append(cut, len(at)) - 1
         self.a, self.b, self.place = at[first], at[last], place[first]
-        self.gram = g[self.place]
+        self.gram = W.mix(g[self.place])  # the least of some hashes is small: mixed again, it is evenly spread
         self.content = W.run_hash(self.prefix, self.a, self.b + window)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ def recurring(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     n_anchors, n_found = anchors.agg(F.count("*"), F.sum("total")).first()
     shards = int(max(16, (n_anchors or 0) // SHARD_PHRASES))
     # an anchor with more than a shard's even share of what is found gets its own copies of the shard; there are 4 * shards at most
-    share = max(20_000, (n_found or 0) // (4 * shards))
+    share = max(HOT_SHARE, (n_found or 0) // (4 * shards))
     hot = {r["gram"]: int(-(-r["total"] // share)) for r in anchors.filter(F.col("total") > share).toLocalIterator()}
     sent = spark.sparkContext.broadcast((AnchorFilter(anchors), hot))
 
