@@ -93,7 +93,7 @@ def llr(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(_steps(token), F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.greatest(F.lit(1), F.length(token))
 
 
-def spans(text: Column, ratios: list[float], sure: float = 1.0) -> Column:
+def spans(text: Column, ratios: list[float], sure: float = 0.6) -> Column:
     """All spans by start and then kind: the patterns' finds, and random-looking strings clear of those."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     base = F.concat(*[_spans(kind, text, pattern, group, least) for kind, pattern, group, least in KINDS])
@@ -102,13 +102,13 @@ def spans(text: Column, ratios: list[float], sure: float = 1.0) -> Column:
     return F.array_sort(F.transform(F.concat(base, clear), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"])))
 
 
-def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: DataFrame | None = None, sure: float = 1.0) -> DataFrame:
+def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: DataFrame | None = None, sure: float = 0.6) -> DataFrame:
     """One row per row of docs: id and spans, an array of (start, rank, end, kind); rank is the kind's place among the kinds."""
     ratios = train(samples if samples is not None else labelled_samples(docs, id, text))
     return docs.select(F.col(id), spans(F.col(text), ratios, sure).alias("spans"))
 
 
-def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", sure: float = 1.0) -> DataFrame:
+def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", sure: float = 0.6) -> DataFrame:
     """docs with every span of a secret in the text replaced by mark; spans that overlap are replaced as one."""
     ratios = train(labelled_samples(docs, id, text))
     name = free_column(docs, "spans")

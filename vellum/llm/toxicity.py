@@ -65,7 +65,7 @@ class Machine:
 def train(terms: np.ndarray, doc: np.ndarray, at: np.ndarray, label: np.ndarray, rounds: int = 250, rate: float = 0.1, decay: float = 2e-5, seed: int = 5) -> Machine:
     """Logistic loss, by Adam; the rarer label's rows weigh more, by the root of the odds; decay pulls weights and factors to zero."""
     n, m = len(label), len(terms)
-    mean = float(np.clip(label.mean(), 1e-3, 0.5)) if n else PRIOR / (1 + PRIOR)
+    mean = float(np.clip(label.mean(), 1e-3, 0.5)) if n else PRIOR
     params = np.zeros((m, 1 + FACTORS))
     params[:, 1:] = np.random.default_rng(seed).normal(0, 0.01, (m, FACTORS))
     bias = np.log(mean / (1 - mean))

@@ -141,4 +141,4 @@ def per_doc_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def doc_sum(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Float sums by text, each independent of what stands in other texts."""
-    return np.bincount(doc, weights=values, minlength=n)
+    return np.bincount(doc, weights=values, minlength=n).astype(float)
