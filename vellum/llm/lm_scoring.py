@@ -33,7 +33,7 @@ BITS_A_KEY = 8
 PROBES = 4
 HOT = 1 << 19
 BUCKET_BYTES = 2 << 20
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 3_000_000
 MU = 100.0
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A27F00D57A27F1)
 _PAIR, _WORD, _LEVEL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3)
@@ -148,19 +148,26 @@ def learn(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Da
     buckets = int(min(65536, max(64, (size or 0) // BUCKET_BYTES)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Tokens] = []
+        held: dict[str, list[np.ndarray]] = {"word": [], "pair": []}
+        size = 0
         for batch in batches:
             for w in W.chunks(batch.column(0), lower=True):
-                held.append(Tokens(w))
-                if sum(len(t.key) for t in held) >= FLUSH_TOKENS:
+                t = Tokens(w)
+                held["word"].append(word_keys(t.key))
+                held["pair"].append(pair_keys(t.before, t.key))
+                size += len(t.key)
+                if size >= FLUSH_TOKENS:
                     yield from flush(held)
-                    held = []
-        if held:
+                    size = 0
+        if size:
             yield from flush(held)
 
-    def flush(held: list[Tokens]) -> Iterator[pa.RecordBatch]:
-        for kind, keys in (("word", [word_keys(t.key) for t in held]), ("pair", [pair_keys(t.before, t.key) for t in held])):
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
+    def flush(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind in held:
+            keys = np.concatenate(held[kind])
+            held[kind] = []
+            key, count = np.unique(keys, return_counts=True)
+            del keys
             count = count.astype(np.uint32)
             edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
             at = np.flatnonzero(np.diff(edges))
