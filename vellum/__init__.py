@@ -1,0 +1 @@
+"""Vellum: layout-aware document text analytics on Spark DataFrames."""
