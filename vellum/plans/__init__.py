@@ -1,0 +1 @@
+"""Plans: what is derived from resolved masks and page states."""

@@ -1,0 +1 @@
+"""Streams of page updates and decisions."""
