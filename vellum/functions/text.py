@@ -7,18 +7,22 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as scripts in browsers see it.
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\u009F]"
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """The composed form; null stays null."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(c: Column) -> Column:
+    """The composed form; null stays null."""
+    return F.pandas_udf(_composed, T.StringType())(c)
+
+
 def drop_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 
