@@ -226,3 +226,25 @@ def document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detector_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dt.run_detectors([dt.VietnameseDetector(), dt.PatternDetector("digits", "[0-9]")], all_lines(spark, sf_dir), ["doc_id", "line_no"])
     return found.groupBy("detector", "language").agg(F.count("*").alias("n"))
+
+
+def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import trigrams as tg
+
+    docs = table(spark, sf_dir, "documents")
+    return tg.guess(docs.select("doc_id", "text"), tg.profiles(docs), ["doc_id"])
+
+
+@query()
+def trigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guessed(spark, sf_dir).select("doc_id", "language", tx.round_half_up(F.col("score"), 6).alias("score"), tx.round_half_up(F.col("runner_up"), 6).alias("runner_up"))
+
+
+_CODE_ROWS = [("eng", "en"), ("vie", "vi"), ("deu", "de"), ("xyz", "xyz"), ("und", "und")]
+
+
+@query(f"WITH {values('t', 'code, label', _CODE_ROWS)} SELECT code, label FROM t")
+def language_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.operators import trigrams as tg
+
+    return spark.createDataFrame([r[:1] for r in _CODE_ROWS], "code string").withColumn("label", tg.short_code(F.col("code")))

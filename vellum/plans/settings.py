@@ -22,7 +22,7 @@ def parse(raw: Column) -> Column:
         path = f"$.settings.{_PATHS[name]}"
         told = F.when(ours & ~F.coalesce(F.schema_of_variant(F.try_variant_get(json, path, "variant")).isin("STRING", "BOOLEAN", "VOID"), F.lit(False)), F.try_variant_get(json, path, "double"))
         top = F.lit(top) if most is None else most
-        return F.coalesce(F.least(top, F.greatest(F.lit(least), told)), F.least(F.lit(fallback), top))
+        return F.when(told.isNotNull(), F.least(top, F.greatest(F.lit(least), told))).otherwise(F.least(F.lit(fallback), top))
 
     def flag(name: str) -> Column:
         path = f"$.settings.{name}"
