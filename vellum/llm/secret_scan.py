@@ -7,7 +7,6 @@ points, ends exclusive.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,10 +86,22 @@ def train(samples: DataFrame) -> list[float]:
     return [x - y for x, y in zip(table[True], table[False], strict=True)]
 
 
+#: Ratios are kept as one printable character each, in steps of STEP around the middle one: a small literal in every plan.
+STEP, MIDDLE, REACH = 0.125, 80, 46
+
+
+def _packed(ratios: list[float]) -> Column:
+    """A string for each state, a character for each state that may follow."""
+    marks = [chr(MIDDLE + max(-REACH, min(REACH, round(x / STEP)))) for x in ratios]
+    return F.array(*[F.lit("".join(marks[a : a + SIZE])) for a in range(0, SIZE * SIZE, SIZE)])
+
+
 def llr(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio a transition."""
-    table = F.from_json(F.lit(json.dumps([round(x, 5) for x in ratios])), "array<double>")
-    return F.aggregate(_steps(token), F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.greatest(F.lit(1), F.length(token))
+    codes, table = _codes(token), _packed(ratios)
+    before = F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.greatest(F.lit(0), F.size(codes) - 1)))
+    marks = F.zip_with(before, codes, lambda a, b: F.ascii(F.substring(F.get(table, a), b + 1, F.lit(1))) - MIDDLE)
+    return F.aggregate(marks, F.lit(0), lambda s, x: s + x) * STEP / F.greatest(F.lit(1), F.length(token))
 
 
 def spans(text: Column, ratios: list[float], sure: float = 0.6) -> Column:
