@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from vellum.functions.text import round_half_up
 PX_PER_PT = 96 / 72
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c worked out once however often f uses it; else nested maps would grow with the power of their depth."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def box(x: Column, y: Column, width: Column, height: Column) -> Column:
     return F.struct(*[c.cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (width, "width"), (height, "height"))])
 
@@ -69,6 +75,10 @@ def apply(m: Column, x: Column, y: Column) -> tuple[Column, Column]:
 
 def invert(m: Column) -> Column:
     """The inverse map; a map without one raises."""
+    return once(m, _inverse)
+
+
+def _inverse(m: Column) -> Column:
     det = m["a"] * m["d"] - m["b"] * m["c"]
     det = F.when(det == 0, F.raise_error(F.lit("the matrix has no inverse")).cast("double")).otherwise(det)
     ef = [(m["c"] * m["f"] - m["d"] * m["e"]) / det, (m["b"] * m["e"] - m["a"] * m["f"]) / det]
@@ -77,6 +87,10 @@ def invert(m: Column) -> Column:
 
 def multiply(p: Column, q: Column) -> Column:
     """The map that does q first, then p."""
+    return once(F.struct(p.alias("p"), q.alias("q")), lambda both: _product(both["p"], both["q"]))
+
+
+def _product(p: Column, q: Column) -> Column:
     return matrix(
         *(p[r] * q[c0] + p[s] * q[c1] for c0, c1 in (("a", "b"), ("c", "d")) for r, s in (("a", "c"), ("b", "d"))),
         p["a"] * q["e"] + p["c"] * q["f"] + p["e"],
@@ -86,6 +100,10 @@ def multiply(p: Column, q: Column) -> Column:
 
 def map_box(m: Column, b: Column) -> Column:
     """The upright box around the mapped corners."""
+    return once(F.struct(m.alias("m"), b.alias("b")), lambda both: _around(both["m"], both["b"]))
+
+
+def _around(m: Column, b: Column) -> Column:
     xs, ys = zip(*(apply(m, x, y) for x in (b["x"], right(b)) for y in (b["y"], top(b))), strict=True)
     return box(F.least(*xs), F.least(*ys), F.greatest(*xs) - F.least(*xs), F.greatest(*ys) - F.least(*ys))
 
@@ -105,13 +123,19 @@ def degrees(d: Column) -> Column:
 def viewport(view: Column, rotate: Column, unit: Column, zoom: Column) -> Column:
     """struct<matrix,width,height> from user space of a page (view: struct<x0,y0,x1,y1>) to pixels, y down."""
     unit = F.when(F.coalesce(unit, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(unit)
-    scale, turn = zoom * F.lit(PX_PER_PT) * unit, quarter_turn(rotate)
+    scale = (zoom * F.lit(PX_PER_PT) * unit).cast("double")
+    given = F.struct(view.alias("view"), quarter_turn(rotate).alias("turn"), scale.alias("scale"))
+    return once(given, lambda x: _viewport(x["view"], x["turn"], x["scale"]))
+
+
+def _viewport(view: Column, turn: Column, scale: Column) -> Column:
     side = turn.isin(90, 270)
     cx, cy = (view["x0"] + view["x1"]) / 2, (view["y0"] + view["y1"]) / 2
     w, h = F.abs(view["x1"] - view["x0"]) * scale, F.abs(view["y1"] - view["y0"]) * scale
     dx, dy = F.abs(cx - view["x0"]) * scale, F.abs(cy - view["y0"]) * scale
-    pick = lambda at0, at90, at180, at270: F.when(turn == 90, F.lit(at90)).when(turn == 180, F.lit(at180)).when(turn == 270, F.lit(at270)).otherwise(F.lit(at0))
-    a, b, c, d = (pick(*four) * scale for four in ((1.0, 0.0, -1.0, 0.0), (0.0, 1.0, 0.0, -1.0), (0.0, 1.0, 0.0, -1.0), (-1.0, 0.0, 1.0, 0.0)))
+    # columns of the turn's matrix at 0, 90, 180 and 270 degrees
+    turns = ((1.0, 0.0, -1.0, 0.0), (0.0, 1.0, 0.0, -1.0), (0.0, 1.0, 0.0, -1.0), (-1.0, 0.0, 1.0, 0.0))
+    a, b, c, d = (F.get(F.array(*map(F.lit, four)), (turn / 90).cast("int")) * scale for four in turns)
     e = F.when(side, dy).otherwise(dx) - a * cx - c * cy
     f = F.when(side, dx).otherwise(dy) - b * cx - d * cy
     return F.struct(matrix(a, b, c, d, e, f).alias("matrix"), F.when(side, h).otherwise(w).alias("width"), F.when(side, w).otherwise(h).alias("height"))

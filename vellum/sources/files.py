@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellum.functions import text as tx
 from vellum.operators.verify import require_clean
@@ -48,6 +49,9 @@ def quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_pages(docs: DataFrame, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """The rows that parse makes of each document's bytes, with doc_id; a document that fails gives one row with its error."""
 
+    out = docs.sparkSession.createDataFrame([], f"doc_id string, error string, page struct<{schema}>").schema
+    arrow = to_arrow_schema(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -57,16 +61,9 @@ def parse_pages(docs: DataFrame, parse: Callable[[bytes], list[dict]], schema: s
                 except Exception as e:  # one bad document must not stop the others
                     rows.append({"doc_id": doc, "error": str(e) or type(e).__name__, "page": None})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(out.schema))
-
-    out = docs.sparkSession.createDataFrame([], f"doc_id string, error string, page struct<{schema}>")
-    return docs.select("doc_id", "content").mapInArrow(run, out.schema)
-
-
-def _arrow(schema):
-    from pyspark.sql.pandas.types import to_arrow_schema
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return to_arrow_schema(schema)
+    return docs.select("doc_id", "content").mapInArrow(run, out)
 
 
 def write_checked(out: DataFrame, leaks: DataFrame, path: str) -> None:
