@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import round_half_up
+from vellum.functions.text import once, round_half_up
 
 #: Fixed value: pixels a point.
 PX_PER_PT = 96 / 72
 
 
-def once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of c, with c worked out once however often f uses it; else nested maps would grow with the power of their depth."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def box(x: Column, y: Column, width: Column, height: Column) -> Column:
     return F.struct(*[c.cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (width, "width"), (height, "height"))])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def nfc(c: Column) -> Column:
     return F.pandas_udf(_composed, T.StringType())(c)
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c worked out once however often f uses it; else what is nested would be worked out again and again."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def drop_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 

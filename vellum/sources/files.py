@@ -17,7 +17,13 @@ MOST_BYTES = 512 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if it comes in fewer partitions than there are cores, as a file of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def read_files(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
