@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import chat, decontam, lm_scoring, mixing, phrases, pii, quality, secret_scan, shared, simhash, toxicity
+from vellum.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,7 +21,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shared.columns_for_python(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.table(spark, sf_dir, name)
 
 
 @query
