@@ -20,10 +20,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For operators with Python in them: in small batches, over all cores."""
     shared.columns_for_python(spark)
     return files.table(spark, sf_dir, name)
 
 
+def plain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,7 +78,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    rows = secret_scan.find_secrets(plain(spark, sf_dir, "documents"))
     rows = rows.withColumn("base", F.expr(f"filter(spans, s -> s.rank < {len(secret_scan.KINDS)})"))
     number = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k[0]}')) AS bigint)").alias(f"n_{k[0]}") for k in secret_scan.KINDS]
     return rows.select("doc_id", *number, F.sha2(F.expr(_told("base")), 256).alias("base_sha256"), F.expr(_told("spans")).alias("spans"))
@@ -81,7 +86,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    rows = mixing.mix(plain(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
 
 
