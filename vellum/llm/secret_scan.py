@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.text import once
 from vellum.llm.shared import free_column
 
 #: kind, pattern (matched leftmost, not overlapping), group whose length counts, its least length
@@ -109,8 +110,12 @@ def spans(text: Column, ratios: list[float], sure: float = 0.6) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     base = F.concat(*[_spans(kind, text, pattern, group, least) for kind, pattern, group, least in KINDS])
     more = F.filter(_spans(RANDOM, text, CANDIDATE, 0, 16), lambda x: llr(x["m"], ratios) >= sure)
-    clear = F.filter(more, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.array_sort(F.transform(F.concat(base, clear), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"])))
+
+    def all_of(base: Column) -> Column:
+        clear = F.filter(more, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        return F.array_sort(F.transform(F.concat(base, clear), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"])))
+
+    return once(base, all_of)
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: DataFrame | None = None, sure: float = 0.6) -> DataFrame:
