@@ -65,3 +65,13 @@ def test_a_bucket_over_its_bound_leaves_out_the_lowest_levels():
 
 def test_edges(nothing):
     assert lm_scoring.score(nothing, F.lit(True)).collect() == []
+
+
+def test_every_pair_is_kept_however_large_the_filter_gets(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FILTER_BYTES", 1 << 12, raising=False)  # what once bounded it
+    texts = [" ".join(f"w{(i * 37 + j * j) % 4001}" for j in range(200)) for i in range(100)]
+    model, _ = lm_scoring.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True))
+    t = lm_scoring.Tokens(next(lm_scoring.W.chunks(lm_scoring.pa.array(texts), lower=True)))
+    assert (model.filter.least == 1).all()
+    assert (model.filter.counts(lm_scoring.pair_keys(t.before, t.key)) >= 1).all()
+    assert model.filter.words.nbytes > 1 << 12

@@ -2,8 +2,8 @@
 
 Counts are gathered exactly, over all training texts, and dealt out by hash into buckets. Each bucket becomes a segment of the
 filter: a key with count c is put in once for each level 1 .. 1 + floor(log2 c), so that probing level after level until one
-misses gives back the quantised count. The filter is sent to the workers; its size is bounded by ``FILTER_BYTES``, within
-which a bucket leaves out the levels and keys under the smallest power of two that makes it fit (1 as long as it fits).
+misses gives back the quantised count. The filter is sent to the workers; it holds every key at every size of the input, and
+grows with the different words and pairs there.
 
 A text's tokens are its lower-cased words and one end. P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU), with P(w) add-one
 smoothed. Words over a count threshold, HOT of them at most, have exact counts sent along; the exact counts of all other words
@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 from vellum.llm import words as W
 from vellum.llm.shared import columns_for_python, settle
 
-FILTER_BYTES = 128 << 20
 BITS_A_KEY = 8
 PROBES = 4
 HOT = 1 << 19
@@ -82,8 +81,8 @@ def spots(key: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> t
     return at.astype(np.int64), bits
 
 
-def segment(key: np.ndarray, count: np.ndarray, most_words: int) -> tuple[np.ndarray, int]:
-    """The filter's segment for a bucket, and the first level that is kept."""
+def segment(key: np.ndarray, count: np.ndarray, most_words: float = float("inf")) -> tuple[np.ndarray, int]:
+    """The filter's segment for a bucket, and the first level that is kept: 1, unless a bound is given that it doesn't fit."""
     level = level_of(count)
     for least in range(1, 65):
         n = int(np.maximum(0, level - least + 1).sum())
@@ -198,7 +197,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Da
     def made(b: int, held: dict[str, list]) -> pa.RecordBatch:
         parts = {k: _merged(*(np.concatenate(x) for x in zip(*v, strict=True))) if v else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k, v in held.items()}
         (words, n), (pairs, m) = parts["word"], parts["pair"]
-        out, least = segment(np.concatenate((words, pairs)), np.concatenate((n, m)), FILTER_BYTES // 8 // buckets)
+        out, least = segment(np.concatenate((words, pairs)), np.concatenate((n, m)))
         levels = np.bincount(level_of(n), minlength=65)
         values = [b, least, out.tobytes(), words.tobytes(), n.tobytes(), int(n.sum()), levels.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _BUILT, strict=True)], _NAMES)
@@ -213,7 +212,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Da
     above = np.cumsum(levels[::-1])[::-1]  # words at each level or higher
     hot_level = next(j for j in range(1, 66) if j == 65 or above[j] <= HOT)
     threshold = 1 << (hot_level - 1)
-    segments: dict[int, bytes] = dict(dealt.select("bucket", "filter").toLocalIterator())  # FILTER_BYTES at most in all
+    segments: dict[int, bytes] = dict(dealt.select("bucket", "filter").toLocalIterator())  # the whole filter: BITS_A_KEY for each key and level
     first = np.zeros(buckets + 1, np.int64)
     least = np.ones(buckets, np.int64)
     for r in heads:
