@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES, words
 from vellum.llm import phrases, queries
@@ -49,14 +51,43 @@ def test_edges(edges, nothing):
     assert phrases.remove_repeats(nothing).collect() == []
 
 
-def test_hot_anchors_go_to_several_copies_of_a_shard(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "HOT_SHARE", 3)
+def test_a_passage_in_every_document_goes_to_every_block(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_LETTERS", 300)
     passage = " ".join(f"p{i}" for i in range(50))
-    rows = [(i, f"{'x' * (i % 7)} own{i} {passage} tail{i}") for i in range(80)]
+    rows = [(i, f"{'x' * (i % 7)} own{i} {passage} tail{i}") for i in range(80)] + [(None, passage), (None, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert got(phrases.remove_repeats(df)) == brute(rows, 35)
 
 
+def test_only_what_the_automata_find_is_removed(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(50))
+    df = spark.createDataFrame([(i, f"own{i} {passage}") for i in range(9)], "doc_id long, text string")
+    rows = df.selectExpr("doc_id AS id", "cast(0 AS bigint) AS block", "hash(text) AS owner", "text")
+    passages, wanted = phrases.written_phrases(rows, 35, 12)
+    assert [(r["text"], wanted.count()) for r in passages.collect()] == [(passage, 1)]  # written once, by its owner
+    found = phrases.Automata(phrases.Letters(35))
+    w = next(phrases.W.chunks(pa.array([f"own {passage}"])))
+    assert not found.found(w).any()
+    found = phrases.Automata(phrases.Letters(35))
+    found.add(pa.array([passage]), pa.array([[{"x": 0, "y": 40}]]))
+    assert found.found(w).tolist() == [False] + [True] * 40 + [False] * 10
+
+
+def test_empty_automata_remove_nothing(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(50))
+    df = spark.createDataFrame([(i, f"own{i} {passage}") for i in range(9)], "doc_id long, text string")
+    told = phrases.written_phrases
+    assert sum(r["n_removed"] for r in phrases.remove_repeats(df).collect()) == 450
+    monkeypatch.setattr(phrases, "written_phrases", lambda *a: (told(*a)[0].withColumn("spans", F.array().cast("array<struct<x:int,y:int>>")), told(*a)[1]))
+    assert sum(r["n_removed"] for r in phrases.remove_repeats(df).collect()) == 0
+
+
+def test_false_alarms_of_the_filters_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(phrases.KeyFilter, "has", lambda self, key: np.ones(len(key), bool))
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j % (20 + i)}" for j in range(60))) for i in range(12)]
+    assert got(phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=10, anchor=4)) == brute(rows, 10)
+
+
 def test_query_matches_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     out = queries.QUERIES["op4_phrases"](spark, "/root/testdata/sf0.001").collect()

@@ -3,19 +3,21 @@
 A window is ``window`` consecutive words. Each window has an anchor: the run of ``anchor`` words in it with the smallest hash,
 the leftmost of equals; equal windows have equal anchors in equal places. Consecutive windows with one anchor form a stretch.
 
-1. Confirm. Stretches are counted by anchor and content. One that is there twice recurs with all its windows. Only where an
-   anchor has stretches of different content are single windows counted too.
-2. Compile. The confirmed anchors' phrases are dealt out by hash to shards of ``SHARD_PHRASES`` or so, and each shard compiles
-   an Aho-Corasick automaton of its phrases.
-3. Stream. Every document's stretches pass the shards of their anchors. An automaton locates the phrases in a stretch, and the
-   confirmed contents say which of its windows recur.
-
-Filters of anchors, of a bounded size, keep stretches that can't recur from being sent; a false alarm in them costs time only.
-Anchors with very many occurrences are split over several copies of their shard. Hashes have 64 bits over whole words.
-
-A null text counts as empty. Repeated rows are occurrences like any other, so all their windows recur. Ids that are null or
-tied are told apart by their texts. An empty table gives an empty result; other columns are ignored. Memory in a worker follows
-the longest single text.
+1. Confirm. Stretches are counted by anchor and content. One that is there twice is a phrase. Only where an anchor has
+   stretches of different content are single windows counted too; those that are there twice are phrases.
+2. Write the phrases down. One document that holds a phrase, its owner, gives the phrase's words, so that each phrase is written
+   once. Phrases of one owner that overlap are kept in one passage.
+3. Compile. Documents are dealt out into blocks of ``BLOCK_BYTES`` or so. To each block come the passages of the phrases that
+   may be in it, and it compiles Aho-Corasick automata of these, ``SHARD_LETTERS`` letters each at most.
+4. Stream. Every document passes the automata of its block as a whole. What they find is removed, and nothing else is.
+
+The automata's letters are words: each word is one of 2**bits letters, told by its hash, with at least 128 bits in a window.
+Hashes of contents only say which phrases a block is sent, by joins; filters of them, of a bounded size, keep others from being
+sent, and a false alarm in these costs time only. A document's block is a hash of its id and text, so that copies are spread.
+
+A null text counts as empty. Repeated rows are occurrences like any other, so all their windows recur. Null and tied ids are
+rows like others. An empty table gives an empty result; other columns are ignored. Memory in a worker follows the longest
+single text, and the phrases of a block.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm import words as W
-from vellum.llm.shared import settle, small
+from vellum.llm.shared import settle
 
-SHARD_PHRASES = 8000
+BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 64
+#: Letters of all phrases in one automaton, and phrases in one passage.
+SHARD_LETTERS, PASSAGE_PHRASES = 2_000_000, 16
 FILTER_BYTES = 64 << 20
 FILTER_PARTS = 64
 FLUSH_ROWS = 400_000
-HOT_SHARE = 20_000
-_KEY = np.uint64(0xD1B54A32D192ED03)
+#: Under 2**31, so that its products with 32 bits fit 64.
+_OWNER = 0x5851F42D
 
 
 class Stretches:
@@ -62,12 +66,12 @@ class Stretches:
         self.gram = W.mix(g[self.place])  # the least of some hashes is small: mixed again, it is evenly spread
         self.content = W.run_hash(self.prefix, self.a, self.b + window)
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(anchor, content) of each window of the chosen stretches."""
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, content, place) of each window of the chosen stretches."""
         n = (self.b - self.a + 1)[chosen]
         of = np.repeat(chosen, n)
         at = self.a[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        return self.gram[of], W.run_hash(self.prefix, at, at + self.window)
+        return of, W.run_hash(self.prefix, at, at + self.window), at
 
 
 def _argmin(v: np.ndarray, width: int) -> np.ndarray:
@@ -102,11 +106,11 @@ def _spots(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return part, (((x >> W.U(32)) * W.U(size)) >> W.U(32)).astype(np.int64), bits
 
 
-class AnchorFilter:
-    """A Bloom filter of at most FILTER_BYTES: built part by part on the executors, each part the size that the driver says."""
+class KeyFilter:
+    """A Bloom filter of a column of hashes, of at most FILTER_BYTES: built part by part on the executors, each part the size that the driver says."""
 
-    def __init__(self, anchors: DataFrame, name: str = "gram"):
-        n = anchors.count()
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
         self.size = size = int(min(max(64, n * 16 // 64 // FILTER_PARTS), FILTER_BYTES // 8 // FILTER_PARTS))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +122,7 @@ class AnchorFilter:
             for p, words in made.items():
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([words.tobytes()], pa.binary())], ["part", "words"])
 
-        dealt = anchors.select(name).repartition(FILTER_PARTS, F.shiftrightunsigned(name, 58))
+        dealt = keys.repartition(F.shiftrightunsigned(keys.columns[0], 58))
         self.words = np.zeros((FILTER_PARTS, size), np.uint64)
         for p, words in dealt.mapInArrow(build, "part int, words binary").toLocalIterator():
             self.words[p] |= np.frombuffer(words, np.uint64)
@@ -128,228 +132,265 @@ class AnchorFilter:
         return (self.words[part, at] & bits) == bits
 
 
-def _tallied(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """The different (anchor, content) and how often each is there."""
-    gram, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _tallied(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """The different (anchor, content), how often each is there, and its least owner."""
+    gram, content, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((content, gram))
-    gram, content = gram[order], content[order]
+    gram, content, owner = gram[order], content[order], owner[order]
     first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (content[1:] != content[:-1]))) if len(gram) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(gram)))
-    yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(content[first].view(np.int64)), pa.array(n)], ["gram", "content", "n"])
+    low = np.minimum.reduceat(owner, first) if len(first) else owner
+    yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(content[first].view(np.int64)), pa.array(n), pa.array(low)], ["gram", "content", "n", "owner"])
 
 
-def _counts(rows: DataFrame, window: int, anchor: int, chosen: AnchorFilter | None) -> DataFrame:
-    """(gram, content, n) of all stretches; of single windows of the stretches with chosen anchors where chosen is given."""
+def _owners(batch: pa.RecordBatch, at: int, w: W.Words) -> np.ndarray:
+    return batch.column(at).slice(w.row, w.n_docs).to_numpy(zero_copy_only=False)
+
+
+def _doc_of(w: W.Words, place: np.ndarray) -> np.ndarray:
+    return np.searchsorted(w.first, place, side="right") - 1
+
+
+def _counts(rows: DataFrame, window: int, anchor: int, chosen: KeyFilter | None) -> DataFrame:
+    """(gram, content, n, owner) of all stretches; of single windows of the stretches with chosen anchors where these are given."""
     sent = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size, only = 0, sent.value
         for batch in batches:
-            for w in W.chunks(batch.column(0)):
+            for w in W.chunks(batch.column(1)):
                 s = Stretches(w, window, anchor)
-                held.append((s.gram, s.content) if only is None else s.windows(np.flatnonzero(only.has(s.gram))))
-                size += len(held[-1][0])
+                of, content, place = (slice(None), s.content, s.a) if only is None else s.windows(np.flatnonzero(only.has(s.gram)))
+                held.append((s.gram[of], content, _owners(batch, 0, w)[_doc_of(w, place)]))
+                size += len(content)
                 if size >= FLUSH_ROWS:
                     yield from _tallied(held)
                     held, size = [], 0
         if held:
             yield from _tallied(held)
 
-    return rows.select("text").mapInArrow(run, "gram long, content long, n long").groupBy("gram", "content").agg(F.sum("n").alias("n"))
+    counts = rows.select("owner", "text").mapInArrow(run, "gram long, content long, n long, owner int")
+    return counts.groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
 
 
-def _joined(w: W.Words) -> tuple[str | bytes, np.ndarray]:
-    """The chunk's words with one space after each, and the place of each word in that."""
-    size = w.end - w.start + 1
-    place = np.concatenate(([0], np.cumsum(size)))
-    keep = ~W.SEPARATOR[w.data]
+def _joined(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the chunk's words with one space after each, and the place of each word in that."""
+    place = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
     out = np.full(place[-1], 0x20, np.uint8)
     inner = np.ones(place[-1], bool)
     inner[place[1:] - 1] = False
-    out[inner] = w.data[keep]
-    return out.tobytes(), place
+    out[inner] = w.data[~W.SEPARATOR[w.data]]
+    return out, place
+
+
+def _winner(content: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    return content ^ (owner.astype(np.int64) * _OWNER).view(np.uint64)
 
 
-def recurring(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, spans): for the rows (key1, key2, text) with recurring windows, the word ranges [x, y) that those cover."""
-    spark = rows.sparkSession
+def written_phrases(rows: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+    """The phrases of the rows (block, owner, text): passages (pid, text, spans), where the word ranges [x, y) of a text are its
+    phrases, and (block, pid) of the passages that may be in a block."""
     stretches = settle(_counts(rows, window, anchor, None))
-    grams = stretches.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    grams = settle(grams)
-    mixed = AnchorFilter(grams.filter("kinds > 1"))
+    grams = stretches.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = KeyFilter(grams.select("gram"))
     single = _counts(rows, window, anchor, mixed).filter("n > 1")
-    confirmed = settle(stretches.filter("n > 1").select("gram", "content").unionByName(single.select("gram", "content")))
-    anchors = settle(confirmed.select("gram").distinct().join(grams, "gram").select("gram", "total"))
-    n_anchors, n_found = anchors.agg(F.count("*"), F.sum("total")).first()
-    shards = int(max(16, (n_anchors or 0) // SHARD_PHRASES))
-    # an anchor with more than a shard's even share of what is found gets its own copies of the shard; there are 4 * shards at most
-    share = max(HOT_SHARE, (n_found or 0) // (4 * shards))
-    hot = {r["gram"]: int(-(-r["total"] // share)) for r in anchors.filter(F.col("total") > share).toLocalIterator()}
-    sent = spark.sparkContext.broadcast((AnchorFilter(anchors), hot))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = sent.value
-        hot_gram = np.array(sorted(split), np.int64).view(np.uint64)
+    confirmed = settle(stretches.filter("n > 1").select("content", "owner").unionByName(single.select("content", "owner")))
+    winners = KeyFilter(confirmed.select(F.col("content").bitwiseXOR(F.col("owner").cast("long") * _OWNER).alias("key")))
+    sent = rows.sparkSession.sparkContext.broadcast((mixed, KeyFilter(confirmed.select("content")), winners))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several, known, won = sent.value
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for w in W.chunks(batch.column(2)):
                 s = Stretches(w, window, anchor)
-                i = np.flatnonzero(known.has(s.gram))
-                if not len(i):
-                    continue
-                joined, place = _joined(w)
-                doc = np.searchsorted(w.first, s.a[i], side="right") - 1
-                gram = s.gram[i].view(np.int64)
-                salt = np.zeros(len(i), np.int32)
-                for j in np.flatnonzero(np.isin(s.gram[i], hot_gram)).tolist():
-                    salt[j] = (int(s.content[i[j]]) + w.row + int(doc[j])) % split[int(gram[j])]
-                text = [joined[a:z] for a, z in zip(place[s.a[i]].tolist(), (place[s.b[i] + window] - 1).tolist(), strict=True)]
-                keys = [batch.column(c).slice(w.row, w.n_docs).take(pa.array(doc)) for c in (0, 1)]
-                anchor_at = (s.place[i] - s.a[i]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array(gram), pa.array(salt), pa.array((s.a[i] - w.first[doc]).astype(np.int32)), pa.array(anchor_at), pa.array(text, pa.binary()).cast(pa.string())], _SENT
-                )
-
-    sent_rows = rows.mapInArrow(send, "key1 long, key2 int, gram long, salt int, first int, anchor_at int, text string")
-    sent_rows = sent_rows.withColumn("kind", F.lit(1)).withColumn("content", F.lit(0).cast("long"))
-    copies = anchors.select("gram", F.explode(F.sequence(F.lit(0), F.when(F.col("total") > share, F.ceil(F.col("total") / share) - 1).otherwise(0).cast("int"))).alias("salt"))
-    told = confirmed.join(copies, "gram").select(
-        F.lit(0).cast("long").alias("key1"), F.lit(0).alias("key2"), "gram", "salt", F.lit(0).alias("first"), F.lit(0).alias("anchor_at"), F.lit("").alias("text"), F.lit(0).alias("kind"), "content"
-    )
-    shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int")
-    dealt = told.unionByName(sent_rows).withColumn("shard", shard).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, here = None, None
-        for batch in batches:
-            group = batch.column(9).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch.column(3).to_numpy(zero_copy_only=False)
-            kind = batch.column(7).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero((group[1:] != group[:-1]) | (kind[1:] != kind[:-1])) + 1
-            edges = [0, *cut.tolist(), len(group)]
-            for a, z in zip(edges, edges[1:], strict=False):
-                if a == z:
-                    continue
-                if group[a] != now:
-                    now, here = group[a], Shard(window, anchor)
-                part = batch.slice(a, z - a)
-                if kind[a] == 0:
-                    here.confirm(part.column(2), part.column(8))
-                else:
-                    yield from here.find(part)
-
-    spans = dealt.mapInArrow(locate, "key1 long, key2 int, x int, y int")
-    lists = spans.groupBy("key1", "key2").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
-    return settle(lists.mapInArrow(_merge, "key1 long, key2 int, spans array<struct<x:int,y:int>>"))
-
-
-_SENT = ["key1", "key2", "gram", "salt", "first", "anchor_at", "text"]
-
-
-class Shard:
-    """The automaton of a shard's phrases and the contents that are confirmed for them.
-
-    The phrases' words come with the stretches that are streamed: a batch's new phrases are added before it is searched."""
-
-    def __init__(self, window: int, anchor: int):
-        self.window, self.anchor = window, anchor
-        self.keys: list[np.ndarray] = []
-        self.known: np.ndarray | None = None
-        self.grams: set[int] = set()
-        self.phrases: set[int] = set()
-        self.automaton = ahocorasick.Automaton()
-
-    def confirm(self, gram: pa.Array, content: pa.Array) -> None:
-        g, c = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (gram, content))
-        self.keys.append(_pair(g, c))
-        self.grams.update(gram.to_pylist())
-
-    def find(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if self.known is None:
-            self.known = np.sort(np.concatenate(self.keys)) if self.keys else np.zeros(0, np.uint64)
-        texts, grams = part.column(6).to_pylist(), part.column(2).to_pylist()
-        fresh = False
-        for text, gram, at in zip(texts, grams, part.column(5).to_pylist(), strict=True):
-            if gram in self.grams and gram not in self.phrases:
-                words = text.split(" ", at + self.anchor)[at : at + self.anchor]
-                self.automaton.add_word(f" {' '.join(words)} ", gram)
-                self.phrases.add(gram)
-                fresh = True
-        if fresh:
-            self.automaton.make_automaton()
-        if not self.phrases:
-            return
-        found = [any(g == gram for _, g in self.automaton.iter(f" {text} ")) for text, gram in zip(texts, grams, strict=True)]
-        part = part.filter(pa.array(found))
-        for w in W.chunks(part.column(6)):
-            prefix = w.prefix()
-            gram = part.column(2).slice(w.row, w.n_docs).to_numpy(zero_copy_only=False).view(np.uint64)
-            shift = part.column(4).slice(w.row, w.n_docs).to_numpy(zero_copy_only=False) - w.first[:-1]
-            whole = self.has(gram, W.run_hash(prefix, w.first[:-1], w.first[1:]))
-            n = np.where(whole, 0, w.counts - self.window + 1)
-            of = np.repeat(np.arange(w.n_docs), n)
-            at = w.first[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            hit = self.has(gram[of], W.run_hash(prefix, at, at + self.window))
-            of, at = of[hit], at[hit]
-            cut = np.flatnonzero((of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)) + 1
-            first, last = (np.append(0, cut), np.append(cut, len(at)) - 1) if len(at) else (at, at)
-            doc = np.concatenate((np.flatnonzero(whole), of[first]))
-            x = np.concatenate((w.first[:-1][whole], at[first]))
-            y = np.concatenate((w.first[1:][whole], at[last] + self.window))
-            keys = [part.column(c).slice(w.row, w.n_docs).take(pa.array(doc)) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array((x + shift[doc]).astype(np.int32)), pa.array((y + shift[doc]).astype(np.int32))], ["key1", "key2", "x", "y"])
-
-    def has(self, gram: np.ndarray, content: np.ndarray) -> np.ndarray:
-        key = _pair(gram, content)
-        at = np.searchsorted(self.known, key)
-        at[at == len(self.known)] = 0
-        return self.known[at] == key if len(self.known) else np.zeros(len(key), bool)
-
-
-def _pair(gram: np.ndarray, content: np.ndarray) -> np.ndarray:
-    return W.mix(gram * _KEY + content)
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans that touch or overlap become one."""
-    for batch in batches:
-        out = []
-        for spans in batch.column(2).to_pylist():
-            merged: list[dict[str, int]] = []
-            for s in sorted(spans, key=lambda s: s["x"]):
-                if merged and s["x"] <= merged[-1]["y"]:
-                    merged[-1]["y"] = max(merged[-1]["y"], s["y"])
-                else:
-                    merged.append(s)
-            out.append(merged)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], batch.schema.names)
+                whole, blocks, owners = known.has(s.content), _owners(batch, 0, w), _owners(batch, 1, w)
+                unlike = np.flatnonzero(several.has(s.gram))
+                of, content, at = s.windows(unlike)
+                hit, inner = known.has(content), whole[of]
+                if inner.any():  # the windows of such a stretch count if it turns out to be there once
+                    yield _asked_whole(blocks, w, s, unlike[whole[unlike]])
+                phrase, x = np.concatenate((s.content[whole], content[hit])), np.concatenate((s.a[whole], at[hit]))
+                y = np.concatenate((s.b[whole] + window, at[hit] + window))
+                doc = _doc_of(w, x)
+                asks = np.append(np.ones(whole.sum(), bool), ~inner[hit])
+                held.append(np.stack((blocks[doc[asks]].astype(np.uint64), phrase[asks])))
+                size += int(asks.sum())
+                mine = np.flatnonzero(won.has(_winner(phrase, owners[doc])))
+                mine = mine[np.argsort(x[mine], kind="stable")]
+                if len(mine):
+                    yield _passages(w, x[mine], y[mine], phrase[mine], doc[mine])
+                if size >= FLUSH_ROWS:
+                    yield _asked(held)
+                    held, size = [], 0
+        if held:
+            yield _asked(held)
+
+    told = settle(rows.select("block", "owner", "text").mapInArrow(gather, _WRITTEN))
+    passages, asked = told.filter("pid IS NOT NULL"), told.filter("pid IS NULL AND windows IS NULL").select("block", "content")
+    alarms = told.filter("windows IS NOT NULL").join(confirmed.select("content"), "content", "left_anti")
+    asked = asked.unionByName(alarms.select("block", F.explode("windows").alias("content")))
+    items = passages.select("pid", F.explode("items").alias("i")).select("pid", "i.*").join(confirmed.select("content"), "content", "left_semi")
+    spans = items.groupBy("pid").agg(F.collect_set(F.struct("x", "y")).alias("spans"))
+    wanted = asked.join(items.select("content", "pid"), "content").select("block", "pid").distinct()
+    return passages.select("pid", "text").join(spans, "pid"), wanted
+
+
+_WRITTEN = "block long, content long, windows array<long>, pid long, text string, items array<struct<content:long,x:int,y:int>>"
+_ITEMS = pa.list_(pa.struct([("content", pa.int64()), ("x", pa.int32()), ("y", pa.int32())]))
+_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string(), _ITEMS]
+_COLUMNS = ["block", "content", "windows", "pid", "text", "items"]
+
+
+def _row(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in zip(_COLUMNS, _KINDS, strict=True)], _COLUMNS)
+
+
+def _asked_whole(blocks: np.ndarray, w: W.Words, s: Stretches, chosen: np.ndarray) -> pa.RecordBatch:
+    """Stretches with their windows."""
+    block = blocks[_doc_of(w, s.a[chosen])]
+    edges = np.concatenate(([0], np.cumsum((s.b - s.a + 1)[chosen]))).astype(np.int32)
+    windows = pa.ListArray.from_arrays(edges, pa.array(s.windows(chosen)[1].view(np.int64)))
+    return _row(len(chosen), block=pa.array(block), content=pa.array(s.content[chosen].view(np.int64)), windows=windows)
+
+
+def _asked(held: list[np.ndarray]) -> pa.RecordBatch:
+    """The different (block, content)."""
+    block, content = np.concatenate(held, axis=1)
+    order = np.lexsort((content, block))
+    block, content = block[order], content[order]
+    first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (content[1:] != content[:-1])))
+    return _row(len(first), block=pa.array(block[first].view(np.int64)), content=pa.array(content[first].view(np.int64)))
+
+
+def _passages(w: W.Words, x: np.ndarray, y: np.ndarray, content: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """The phrases [x, y), by x, put together where they overlap."""
+    apart = np.append(True, (doc[1:] != doc[:-1]) | (x[1:] > np.maximum.accumulate(y)[:-1]))
+    run = np.flatnonzero(apart)
+    nth = np.arange(len(x)) - np.repeat(run, np.diff(np.append(run, len(x))))
+    first = np.flatnonzero(nth % PASSAGE_PHRASES == 0)
+    edges = np.append(first, len(x))
+    low, high = x[first], np.maximum.reduceat(y, first)
+    joined, place = _joined(w)
+    told = joined.tobytes()
+    text = [told[a:z] for a, z in zip(place[low].tolist(), (place[high] - 1).tolist(), strict=True)]
+    pid = W.mix(content[first] * W.U(0xD1B54A32D192ED03) + W.run_hash(w.prefix(), low, high))
+    start = np.repeat(low, np.diff(edges))
+    items = pa.StructArray.from_arrays([pa.array(content.view(np.int64)), pa.array((x - start).astype(np.int32)), pa.array((y - start).astype(np.int32))], ["content", "x", "y"])
+    told = pa.array(text, pa.binary()).cast(pa.string())
+    return _row(len(first), pid=pa.array(pid.view(np.int64)), text=told, items=pa.ListArray.from_arrays(edges.astype(np.int32), items))
+
+
+class Letters:
+    """Words as letters of so many bits."""
+
+    def __init__(self, window: int):
+        if window < 7:
+            raise ValueError("a window has 7 words at least")
+        self.bits = max(10, -(-128 // window))
+
+    def __call__(self, w: W.Words) -> str:
+        code = (w.hash >> W.U(64 - self.bits)).astype("<u4") + np.uint32(1)
+        code[code >= 0xD800] += np.uint32(0x800)  # no surrogates
+        return code.tobytes().decode("utf-32-le")
+
+
+class Automata:
+    """The automata of a block's phrases."""
+
+    def __init__(self, letters: Letters):
+        self.letters, self.made, self.size = letters, [], 0
+        self.ready = False
+
+    def add(self, passages: pa.Array, spans: pa.Array) -> None:
+        lists = spans.to_pylist()
+        for w in W.chunks(passages):
+            said = self.letters(w)
+            for first, phrases in zip(w.first.tolist(), lists[w.row : w.row + w.n_docs], strict=False):
+                for p in phrases:
+                    if not self.made or self.size >= SHARD_LETTERS:
+                        self.made.append(ahocorasick.Automaton(ahocorasick.STORE_LENGTH))
+                        self.size = 0
+                    self.made[-1].add_word(said[first + p["x"] : first + p["y"]])
+                    self.size += p["y"] - p["x"]
+
+    def found(self, w: W.Words) -> np.ndarray:
+        """For each word of the texts whether a phrase that is found covers it."""
+        if not self.ready:
+            for automaton in self.made:
+                automaton.make_automaton()
+            self.ready = True
+        covered = np.zeros(len(w) + 1, np.int64)
+        said, doc = self.letters(w), w.doc
+        for automaton in self.made:
+            hits = np.array(list(automaton.iter(said)), np.int64).reshape(-1, 2)
+            last = hits[:, 0]
+            first = last - hits[:, 1] + 1
+            one = doc[first] == doc[last]  # not across texts
+            np.add.at(covered, first[one], 1)
+            np.add.at(covered, last[one] + 1, -1)
+        return np.cumsum(covered)[:-1] > 0
+
+
+_SPANS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+
+
+def _cut(w: W.Words, gone: np.ndarray) -> list[pa.Array]:
+    """spans, n_words, n_removed and kept of each text."""
+    n, doc = w.n_docs, w.doc
+    removed = np.bincount(doc[gone], minlength=n)
+    edge = np.ones(len(w) + 1, bool)
+    edge[1:-1] = (gone[1:] != gone[:-1]) | (doc[1:] != doc[:-1])
+    a = np.flatnonzero(edge[:-1] & gone)
+    z = np.flatnonzero(edge[1:] & gone) + 1
+    lists = np.searchsorted(doc[a], np.arange(n + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array((v - w.first[doc[a]]).astype(np.int32)) for v in (a, z)], ["x", "y"])
+    spans = pa.ListArray.from_arrays(pa.array(lists, mask=np.append(removed == 0, False)), pairs)
+    joined, place = _joined(w)
+    left = np.flatnonzero(~gone)
+    keep = np.repeat(~gone, np.diff(place))
+    of = doc[left]
+    last = left[np.append(of[1:] != of[:-1], True)[: len(left)]]
+    keep[place[last + 1] - 1] = False  # no space after a text's last word
+    size = np.bincount(np.repeat(doc, np.diff(place))[keep], minlength=n)
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    kept = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined[keep].tobytes())).cast(pa.string())
+    return [spans, pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), kept]
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 35, anchor: int = 12) -> DataFrame:
     """One row per row of docs: id, spans (word ranges [x, y) covered by recurring windows, null if none), n_words, n_removed,
     kept (the words left, one space between them)."""
+    letters = Letters(window)
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.xxhash64("id", "text").alias("key1"), F.hash("text", "id").alias("key2"), "text")
-    spans = recurring(rows.select("key1", "key2", "text"), window, anchor)
-    spans = small(spans, 160)
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType)])
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(max(LEAST_BLOCKS, size // BLOCK_BYTES)))
+    rows = rows.select("id", block.alias("block"), F.hash("text", "id").alias("owner"), "text")
+    passages, wanted = written_phrases(rows, window, anchor)
+    kind = docs.schema[id].dataType
+    none = F.lit(None)
+    told = wanted.join(passages, "pid").select("block", F.lit(0).alias("kind"), none.cast(kind).alias("id"), "text", "spans")
+    streamed = rows.select("block", F.lit(1).alias("kind"), "id", "text", none.cast("array<struct<x:int,y:int>>").alias("spans"))
+    dealt = told.unionByName(streamed).repartition("block").sortWithinPartitions("block", "kind")
+    schema = T.StructType([T.StructField("id", kind)])
     schema = schema.add("spans", T._parse_datatype_string("array<struct<x:int,y:int>>")).add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automata = None, Automata(letters)
         for batch in batches:
-            for w in W.chunks(batch.column(1)):
-                joined, place = _joined(w)
-                lists = batch.column(2).slice(w.row, w.n_docs)
-                kept, removed = [], []
-                for d, found in enumerate(lists.to_pylist()):
-                    edges = [int(w.first[d])]
-                    for s in found or ():
-                        edges += [int(w.first[d]) + s["x"], int(w.first[d]) + s["y"]]
-                    edges.append(int(w.first[d + 1]))
-                    kept.append(b"".join(joined[place[a] : place[z]] for a, z in zip(edges[::2], edges[1::2], strict=True))[:-1])
-                    removed.append(sum(z - a for a, z in zip(edges[1:-1:2], edges[2:-1:2], strict=True)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.row, w.n_docs), lists, pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema.names
-                )
-
-    joined = rows.join(spans, ["key1", "key2"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(cut, schema).withColumnRenamed("id", id)
+            block, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cut = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if a == z:
+                    continue
+                if block[a] != now:
+                    now, automata = block[a], Automata(letters)
+                if kind[a] == 0:
+                    automata.add(batch.column(3).slice(a, z - a), batch.column(4).slice(a, z - a))
+                    continue
+                for w in W.chunks(batch.column(3).slice(a, z - a)):
+                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(a + w.row, w.n_docs), *_cut(w, automata.found(w))], schema.names)
+
+    return dealt.mapInArrow(locate, schema).withColumnRenamed("id", id)
