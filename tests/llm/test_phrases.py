@@ -53,6 +53,7 @@ def test_edges(edges, nothing):
 
 def test_a_passage_in_every_document_goes_to_every_block(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_LETTERS", 300)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
     passage = " ".join(f"p{i}" for i in range(50))
     rows = [(i, f"{'x' * (i % 7)} own{i} {passage} tail{i}") for i in range(80)] + [(None, passage), (None, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
@@ -78,7 +79,8 @@ def test_empty_automata_remove_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"own{i} {passage}") for i in range(9)], "doc_id long, text string")
     told = phrases.written_phrases
     assert sum(r["n_removed"] for r in phrases.remove_repeats(df).collect()) == 450
-    monkeypatch.setattr(phrases, "written_phrases", lambda *a: (told(*a)[0].withColumn("spans", F.array().cast("array<struct<x:int,y:int>>")), told(*a)[1]))
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    monkeypatch.setattr(phrases, "written_phrases", lambda *a: (told(*a)[0], told(*a)[1].withColumn("spans", none)))
     assert sum(r["n_removed"] for r in phrases.remove_repeats(df).collect()) == 0
 
 

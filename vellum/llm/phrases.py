@@ -13,7 +13,8 @@ the leftmost of equals; equal windows have equal anchors in equal places. Consec
 
 The automata's letters are words: each word is one of 2**bits letters, told by its hash, with at least 128 bits in a window.
 Hashes of contents only say which phrases a block is sent, by joins; filters of them, of a bounded size, keep others from being
-sent, and a false alarm in these costs time only. A document's block is a hash of its id and text, so that copies are spread.
+sent, and a false alarm in these costs time only. Texts that begin alike go to one block, so that it is sent their phrases once;
+many of them are spread over several.
 
 A null text counts as empty. Repeated rows are occurrences like any other, so all their windows recur. Null and tied ids are
 rows like others. An empty table gives an empty result; other columns are ignored. Memory in a worker follows the longest
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm import words as W
-from vellum.llm.shared import settle
+from vellum.llm.shared import settle, small
 
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 64
-#: Letters of all phrases in one automaton, and phrases in one passage.
-SHARD_LETTERS, PASSAGE_PHRASES = 2_000_000, 16
+#: Letters of all phrases in one automaton, and words in which a passage's phrases begin.
+SHARD_LETTERS, PASSAGE_WORDS = 2_000_000, 128
+#: Texts that begin alike are mostly copies, and best dealt to one block, as long as it holds them.
+OPENING = 100
 FILTER_BYTES = 64 << 20
 FILTER_PARTS = 64
 FLUSH_ROWS = 400_000
@@ -189,8 +192,8 @@ def _winner(content: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def written_phrases(rows: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """The phrases of the rows (block, owner, text): passages (pid, text, spans), where the word ranges [x, y) of a text are its
-    phrases, and (block, pid) of the passages that may be in a block."""
+    """The phrases of the rows (block, owner, text): passages (pid, text), and (block, pid, spans), where the word ranges [x, y)
+    of a passage are its phrases that may be in a block."""
     stretches = settle(_counts(rows, window, anchor, None))
     grams = stretches.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     mixed = KeyFilter(grams.select("gram"))
@@ -233,9 +236,8 @@ def written_phrases(rows: DataFrame, window: int, anchor: int) -> tuple[DataFram
     alarms = told.filter("windows IS NOT NULL").join(confirmed.select("content"), "content", "left_anti")
     asked = asked.unionByName(alarms.select("block", F.explode("windows").alias("content")))
     items = passages.select("pid", F.explode("items").alias("i")).select("pid", "i.*").join(confirmed.select("content"), "content", "left_semi")
-    spans = items.groupBy("pid").agg(F.collect_set(F.struct("x", "y")).alias("spans"))
-    wanted = asked.join(items.select("content", "pid"), "content").select("block", "pid").distinct()
-    return passages.select("pid", "text").join(spans, "pid"), wanted
+    wanted = asked.join(items, "content").groupBy("block", "pid").agg(F.collect_set(F.struct("x", "y")).alias("spans"))
+    return passages.select("pid", "text"), wanted
 
 
 _WRITTEN = "block long, content long, windows array<long>, pid long, text string, items array<struct<content:long,x:int,y:int>>"
@@ -269,8 +271,8 @@ def _passages(w: W.Words, x: np.ndarray, y: np.ndarray, content: np.ndarray, doc
     """The phrases [x, y), by x, put together where they overlap."""
     apart = np.append(True, (doc[1:] != doc[:-1]) | (x[1:] > np.maximum.accumulate(y)[:-1]))
     run = np.flatnonzero(apart)
-    nth = np.arange(len(x)) - np.repeat(run, np.diff(np.append(run, len(x))))
-    first = np.flatnonzero(nth % PASSAGE_PHRASES == 0)
+    part = (x - np.repeat(x[run], np.diff(np.append(run, len(x))))) // PASSAGE_WORDS
+    first = np.flatnonzero(apart | np.append(True, part[1:] != part[:-1]))
     edges = np.append(first, len(x))
     low, high = x[first], np.maximum.reduceat(y, first)
     joined, place = _joined(w)
@@ -365,8 +367,13 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     kept (the words left, one space between them)."""
     letters = Letters(window)
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(max(LEAST_BLOCKS, size // BLOCK_BYTES)))
+    rows = rows.withColumn("opening", F.xxhash64(F.substring("text", 1, OPENING)))
+    sizes = settle(rows.groupBy("opening").agg(F.sum(F.octet_length("text")).alias("size")))
+    size = sizes.agg(F.sum("size")).first()[0] or 0
+    large = sizes.filter(F.col("size") > BLOCK_BYTES // 4).select("opening", F.ceil(F.col("size") / (BLOCK_BYTES // 4)).alias("cuts"))
+    own = F.pmod(F.xxhash64("id", "text"), F.coalesce("cuts", F.lit(1)))
+    block = F.pmod(F.xxhash64("opening", own), F.lit(max(LEAST_BLOCKS, size // BLOCK_BYTES)))
+    rows = rows.join(small(large, 24), "opening", "left")
     rows = rows.select("id", block.alias("block"), F.hash("text", "id").alias("owner"), "text")
     passages, wanted = written_phrases(rows, window, anchor)
     kind = docs.schema[id].dataType
