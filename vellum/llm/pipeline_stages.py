@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id come last."""
     columns_for_python(spark)
     row = free_column(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())  # the same for every reading of the same files
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))  # written once: numbers depend on how files are dealt out
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
     groups = simhash.near_duplicates(numbered.select(key.alias("key"), "text"), id="key")
     others = settle(groups.filter("key <> component_id").select(F.col("key.row").alias(row)))
