@@ -1,15 +1,21 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-DataFrame functions only. A null text counts as empty. Repeated rows and tied ids are each judged alone; an empty table gives
-an empty result; other columns are ignored by ``find_secrets`` and kept by ``redact``. Texts are read whole; places are code
-points, ends exclusive.
+There is one model of ordinary identifiers and one for each shape of random strings, all trained from labelled samples. A
+string is reported if for some shape the log-likelihood ratio is ``sure`` or more a transition. A find of the models that
+reaches beyond the patterns' finds stays beside them; one that a pattern's find covers goes.
+
+DataFrame functions only. A null text counts as empty and has no spans. Repeated rows and tied ids are each judged alone; an
+empty table gives an empty result; other columns are ignored by ``find_secrets`` and kept by ``redact``, where a null text
+stays null. Texts are read whole, however long: places come from running totals worked out in two levels, so that the cost of a
+text with n finds grows with n ** 1.5 at most. Places are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import once
@@ -19,75 +25,127 @@ from vellum.llm.shared import free_column
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (("assign", ASSIGN, 1, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 RANDOM = "random"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # state 0: the string's start
-#: Bound of the labelled sample: so many random strings of each of three kinds, and the words of so many documents.
+#: Bound of the labelled sample: so many random strings of each shape, the words of so many documents, so many numbers.
 SAMPLE_STRINGS, SAMPLE_DOCS = 3000, 2000
+SURE = 0.6
+#: Of the words that an identifier is put together from, one start in so many is taken.
+EVERY = 5
+_SPAN = "array<struct<start:int,end:int,rank:int,kind:string,m:string>>"
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _parts(values: Column, k: Column) -> Column:
+    """values in parts of k."""
+    n = F.ceil(F.size(values) / k).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(values, i * k + 1, k))).otherwise(_none("array<array<int>>"))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of numbers: step of each and all before it. In parts of the root of the length, as an accumulator is copied
+    whenever it grows."""
+
+    def scan(part: Column) -> Column:
+        grow = lambda acc, x: F.concat(acc, F.array(F.coalesce(step(F.get(acc, F.size(acc) - 1), x), x)))
+        return F.aggregate(part, _none("array<int>"), grow)
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        return once(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: F.coalesce(step(F.get(b, i - 1), x), x)))))
+
+    def scanned(v: Column) -> Column:
+        root = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return once(F.transform(_parts(v, root), scan), joined)
+
+    return once(values, scanned)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.when(a > b, a).otherwise(b)
 
 
 def _spans(kind: str, text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start,end,rank,kind>> of the matches whose group has the least length; each is found in one linear pass."""
+    """The matches whose group has the least length; each is found in one pass."""
     rank = [k[0] for k in KINDS].index(kind) if kind != RANDOM else len(KINDS)
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    each = F.arrays_zip(matches.alias("m"), F.transform(F.slice(gaps, 1, F.size(matches)), F.length).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        z = a + F.length(x["m"])
-        return F.struct(z.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), z.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    placed = F.aggregate(each, start, step, lambda acc: acc["out"])
-    long = lambda x: F.length(F.regexp_extract(x["m"], pattern, group)) >= least
-    shaped = F.transform(F.filter(placed, long), lambda x: F.struct(x["start"], x["end"], F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["m"]))
-    return F.when(F.regexp_like(text, F.lit(pattern)), shaped).otherwise(F.array().cast(_SPAN))
+    def placed(m: Column) -> Column:
+        ends = running(F.zip_with(F.transform(F.slice(gaps, 1, F.size(m)), F.length), m, lambda gap, x: gap + F.length(x)), _sum)
+        struct = lambda x, z: F.struct((z - F.length(x)).alias("start"), z.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x.alias("m"))
+        return F.zip_with(m, ends, struct)
 
-
-_SPAN = "array<struct<start:int,end:int,rank:int,kind:string,m:string>>"
+    long = lambda x: F.length(F.regexp_extract(x["m"], pattern, group) if group else x["m"]) >= least
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(once(matches, placed), long)).otherwise(_none(_SPAN))
 
 
 def _codes(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def _steps(token: Column) -> Column:
-    """Indexes of the string's transitions in a SIZE * SIZE table."""
-    codes = _codes(token)
-    return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.greatest(F.lit(0), F.size(codes) - 1))), codes, lambda a, b: a * SIZE + b)
+def _before(codes: Column) -> Column:
+    return F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.greatest(F.lit(0), F.size(codes) - 1)))
 
 
 def labelled_samples(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(token, random): random strings of three kinds, and the different words of SAMPLE_DOCS documents without what the
-    patterns find in them. The documents are those with the smallest hashed ids."""
+    """(token, shape): random strings of six shapes; ordinary identifiers, whose shape is null: the different words of SAMPLE_DOCS
+    documents without what the patterns find in them, neighbouring words put together as names are (snake_case, camelCase,
+    paths and such), numbers, dates and rules. The documents are those with the smallest hashed ids."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
+    size = (16 + F.col("id") % 25).cast("int")
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    strings = F.array(F.substring(digest, 1, 40), base64, F.upper(F.regexp_replace(base64, "[+/]", "")))
-    random = spark.range(SAMPLE_STRINGS).select(F.explode(strings).alias("token"), F.lit(True).alias("random"))
+    plain = F.regexp_replace(base64, "[+/]", "")
+    dashed = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    shapes = {"hex": digest, "HEX": F.upper(digest), "base64": base64, "url": F.translate(base64, "+/", "-_"), "capitals": F.upper(plain), "small": F.lower(plain)}
+    random = F.array(*[F.struct(F.substring(c, F.lit(1), size).alias("token"), F.lit(k).alias("shape")) for k, c in shapes.items()], F.struct(dashed.alias("token"), F.lit("hex").alias("shape")))
+    random = spark.range(SAMPLE_STRINGS).select(F.explode(random).alias("x")).select("x.token", "x.shape")
     ids = docs.select(F.col(id).alias("sample_id")).distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(SAMPLE_DOCS)
-    words = docs.select(F.col(id).alias("sample_id"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), "sample_id", "left_semi")
+    texts = docs.select(F.col(id).alias("sample_id"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), "sample_id", "left_semi")
     bare = F.col("t")
     for _, pattern, _, _ in KINDS:
         bare = F.regexp_replace(bare, pattern, " ")
-    words = words.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
-    return random.unionByName(words.distinct())
-
-
-def train(samples: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each transition, random against ordinary, from the samples' counts with one added to each."""
-    counts = samples.select("random", F.explode(_steps(F.col("token"))).alias("step")).groupBy("random", "step").count().collect()
-    table = {True: [1.0] * SIZE**2, False: [1.0] * SIZE**2}
-    for random, step, n in counts:
-        table[random][step] += n
-    for kind, row in table.items():
-        for a in range(SIZE):
-            total = sum(row[a * SIZE : (a + 1) * SIZE])
-            table[kind][a * SIZE : (a + 1) * SIZE] = [math.log(x / total) for x in row[a * SIZE : (a + 1) * SIZE]]
-    return [x - y for x, y in zip(table[True], table[False], strict=True)]
-
-
-#: Ratios are kept as one printable character each, in steps of STEP around the middle one: a small literal in every plan.
+    texts = texts.select(bare.alias("t"))
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("token"))
+    three = F.expr(f"transform(sequence(0, size(w) div {EVERY}), i -> slice(w, i * {EVERY} + 1, 3))")
+    named = texts.select(F.regexp_extract_all("t", F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)).alias("w")).select(F.posexplode(three).alias("i", "w"))
+    low, high = F.transform("w", lambda x: F.lower(x)), F.transform("w", lambda x: F.initcap(x))
+    camel = F.concat(F.get(low, F.lit(0)), F.array_join(F.slice(high, 2, 2), ""))
+    forms = F.array(F.array_join(low, "_"), F.array_join(low, "-"), camel, F.array_join(high, ""), F.array_join(low, "/"), F.upper(F.array_join("w", "_")))
+    named = named.filter(F.size("w") == 3).select(F.get(forms, F.col("i") % 6).alias("token"))
+    day = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 7).cast("int")), "yyyy-MM-dd")
+    rule = F.array(*[F.repeat(F.lit(c), F.lit(24)) for c in "-_=/+0xX"])
+    numbers = F.array(F.lpad(F.col("id").cast("string"), 16, "0"), F.concat(day, F.lit("T12-00-00")), F.concat(F.translate(day, "-", ""), (F.col("id") * 7919).cast("string")), F.get(rule, (F.col("id") % 8).cast("int")))
+    numbers = spark.range(SAMPLE_STRINGS).select(F.explode(numbers).alias("token"))
+    ordinary = words.unionByName(named).distinct().unionByName(numbers).withColumn("shape", F.lit(None).cast("string"))
+    return random.unionByName(ordinary)
+
+
+def train(samples: DataFrame) -> dict[str, list[float]]:
+    """For each shape the log-likelihood ratio of each transition, that shape against ordinary, from the samples' counts with one
+    added to each. samples: token, shape (null for ordinary strings). What is counted is bounded by shapes times SIZE ** 2."""
+    steps = F.zip_with(_before(F.col("codes")), F.col("codes"), lambda a, b: a * SIZE + b)
+    counts = samples.select("shape", _codes(F.col("token")).alias("codes")).select("shape", F.explode(steps).alias("step")).groupBy("shape", "step").count().collect()
+    table: dict[str | None, list[float]] = {None: [1.0] * SIZE**2}
+    for shape, step, n in counts:
+        table.setdefault(shape, [1.0] * SIZE**2)[step] += n
+    for row in table.values():
+        for a in range(0, SIZE**2, SIZE):
+            total = sum(row[a : a + SIZE])
+            row[a : a + SIZE] = [math.log(x / total) for x in row[a : a + SIZE]]
+    usual = table.pop(None)
+    return {shape: [x - y for x, y in zip(row, usual, strict=True)] for shape, row in sorted(table.items())}
+
+
+#: Ratios are kept as one printable character each, in steps of STEP around the middle one: small literals in every plan.
 STEP, MIDDLE, REACH = 0.125, 80, 46
 
 
@@ -97,44 +155,81 @@ def _packed(ratios: list[float]) -> Column:
     return F.array(*[F.lit("".join(marks[a : a + SIZE])) for a in range(0, SIZE * SIZE, SIZE)])
 
 
-def llr(token: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio a transition."""
-    codes, table = _codes(token), _packed(ratios)
-    before = F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.greatest(F.lit(0), F.size(codes) - 1)))
-    marks = F.zip_with(before, codes, lambda a, b: F.ascii(F.substring(F.get(table, a), b + 1, F.lit(1))) - MIDDLE)
-    return F.aggregate(marks, F.lit(0), lambda s, x: s + x) * STEP / F.greatest(F.lit(1), F.length(token))
+def llr(token: Column, ratios: dict[str, list[float]]) -> Column:
+    """Mean log-likelihood ratio a transition, of the shape for which it is largest."""
+
+    def of(codes: Column) -> Column:
+        def mean(table: Column) -> Column:
+            marks = F.zip_with(_before(codes), codes, lambda a, b: F.ascii(F.substring(F.get(table, a), b + 1, F.lit(1))) - MIDDLE)
+            return F.aggregate(marks, F.lit(0), lambda s, x: s + x) * STEP / F.greatest(F.lit(1), F.size(codes))
 
+        means = [mean(_packed(r)) for r in ratios.values()]
+        return F.array_max(F.array(*means)) if means else F.lit(0.0)
 
-def spans(text: Column, ratios: list[float], sure: float = 0.6) -> Column:
-    """All spans by start and then kind: the patterns' finds, and random-looking strings clear of those."""
+    return once(_codes(token), of)
+
+
+def spans(text: Column, ratios: dict[str, list[float]], sure: float = SURE) -> Column:
+    """All spans by start and then kind: the patterns' finds, and random-looking strings that none of those covers."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    base = F.concat(*[_spans(kind, text, pattern, group, least) for kind, pattern, group, least in KINDS])
+    base = [_spans(kind, text, pattern, group, least) for kind, pattern, group, least in KINDS]
     more = F.filter(_spans(RANDOM, text, CANDIDATE, 0, 16), lambda x: llr(x["m"], ratios) >= sure)
+    told = F.array_sort(F.transform(F.concat(*base, more), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"])))
+    random = len(KINDS)
 
-    def all_of(base: Column) -> Column:
-        clear = F.filter(more, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.array_sort(F.transform(F.concat(base, clear), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"])))
+    def uncovered(told: Column) -> Column:
+        # a pattern's find that covers a string begins no later, and so comes before it; the furthest end says whether there is one
+        reach = running(F.transform(told, lambda x: F.when(x["rank"] < random, x["end"]).otherwise(0)), _most)
+        both = F.zip_with(told, reach, lambda x, r: F.struct(x.alias("x"), ((x["rank"] < random) | (x["end"] > r)).alias("stays")))
+        return F.transform(F.filter(both, lambda b: b["stays"]), lambda b: b["x"])
 
-    return once(base, all_of)
+    return once(told, lambda t: F.when(F.size(t) > 0, uncovered(t)).otherwise(t))
 
 
-def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: DataFrame | None = None, sure: float = 0.6) -> DataFrame:
+def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: DataFrame | None = None, sure: float = SURE) -> DataFrame:
     """One row per row of docs: id and spans, an array of (start, rank, end, kind); rank is the kind's place among the kinds."""
     ratios = train(samples if samples is not None else labelled_samples(docs, id, text))
     return docs.select(F.col(id), spans(F.col(text), ratios, sure).alias("spans"))
 
 
-def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", sure: float = 0.6) -> DataFrame:
+def _without(whole: Column, found: Column, mark: str) -> Column:
+    """whole with what the spans cover replaced by mark, spans that overlap as one. A substring is sought from its string's start,
+    so the text is cut into parts of about the root of the number of spans first."""
+
+    def cut(joined: Column) -> Column:
+        root = F.ceil(F.sqrt(F.size(joined))).cast("int")
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(joined) / root).cast("int") - 1)
+
+        def part(i: Column) -> Column:
+            here = F.slice(joined, i * root + 1, root)
+            low, high = F.get(here, F.lit(0))["before"], F.get(here, F.size(here) - 1)["end"]
+            struct = F.struct(F.substring(whole, low + 1, high - low).alias("text"), low.alias("low"), here.alias("spans"))
+            return once(struct, lambda p: F.array_join(F.transform(p["spans"], lambda s: F.concat(F.substring(p["text"], s["before"] - p["low"] + 1, s["start"] - s["before"]), F.lit(mark))), ""))
+
+        last = F.get(joined, F.size(joined) - 1)["end"]
+        return F.concat(F.array_join(F.transform(numbers, part), ""), F.substring(whole, last + 1, F.length(whole)))
+
+    def joined(found: Column) -> Column:
+        def groups(reach: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i)["start"] >= F.get(reach, i - 1)))
+            return once(
+                first,
+                lambda f: F.transform(
+                    f,
+                    lambda i, j: F.struct(
+                        F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("before"), F.get(found, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(f, j + 1), F.size(found)) - 1).alias("end")
+                    ),
+                ),
+            )
+
+        return once(once(running(F.transform(found, lambda x: x["end"]), _most), groups), cut)
+
+    return joined(found)
+
+
+def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", sure: float = SURE) -> DataFrame:
     """docs with every span of a secret in the text replaced by mark; spans that overlap are replaced as one."""
     ratios = train(labelled_samples(docs, id, text))
     name = free_column(docs, "spans")
-    found, whole = F.col(name), F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.when(x["start"] >= acc["at"], F.concat(F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], fresh).alias("out"))
-
-    clean = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    marked = docs.withColumn(name, spans(whole, ratios, sure))
-    return marked.withColumn(text, F.when(F.size(found) > 0, clean).otherwise(whole)).drop(name)
+    marked = docs.withColumn(name, spans(F.col(text), ratios, sure))
+    return marked.withColumn(text, F.when(F.size(name) > 0, _without(F.col(text), F.col(name), mark)).otherwise(F.col(text))).drop(name)
