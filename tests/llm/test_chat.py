@@ -24,8 +24,48 @@ def test_a_template_that_rewrites_history_is_found():
     def shortens(messages):
         return "".join(f"[{r}]{x if i == len(messages) - 1 else x[:2]}\n" for i, (r, x) in enumerate(messages))
 
-    _, turns = chat.locate(shortens, [("user", "hello"), ("assistant", "there")])
-    assert [t.rewrites for t in turns] == [False, True]
+    text, turns = chat.locate(shortens, [("user", "hello"), ("assistant", "there")])
+    assert [t.rewrites for t in turns] == [False, True] and text == "[user]he\n[assistant]there\n"
+    assert [(t.content_start, t.content_end) for t in turns] == [(None, None), (20, 25)]  # what was cut short isn't there whole
+    assert [text[t.start : t.end] for t in turns] == ["[user]he\n", "[assistant]there\n"]
+
+
+def contents(render, messages):
+    text, turns = chat.locate(render, messages)
+    assert text == render(messages)
+    return [None if t.content_start is None else text[t.content_start : t.content_end] for t in turns], turns, text
+
+
+SAID = [("user", "hello"), ("assistant", "there"), ("user", ""), ("assistant", "[x]\n"), ("assistant", "end")]
+
+
+def test_spans_in_templates_that_move_or_change_what_was_there():
+    turn = lambda r, x: f"[{r}]{x}\n"
+    trailer = lambda m: "".join(turn(*x) for x in m) + "[END]"
+    found, turns, text = contents(trailer, SAID)
+    assert found == [x for _, x in SAID] and not any(t.rewrites for t in turns)
+    assert [text[t.start : t.end] for t in turns] == [turn(*x) for x in SAID]
+    prompt = lambda m: "<s>" + "".join(turn(*x) for x in m) + ("[assistant]" if m and m[-1][0] == "user" else "")
+    assert contents(prompt, SAID[:4])[0] == [x for _, x in SAID[:4]]
+    counts = lambda m: f"{len(m)} turns:" + "".join(turn(*x) for x in m)
+    found, turns, _ = contents(counts, SAID)
+    assert found == [x for _, x in SAID] and all(t.rewrites for t in turns[1:])
+    last = lambda m: "".join(turn(*x) for x in m[-2:])
+    found, turns, _ = contents(last, SAID)
+    assert found == [None, None, None, "[x]\n", "end"]
+    upper = lambda m: "".join(turn(r, x.upper() if i < len(m) - 1 else x) for i, (r, x) in enumerate(m))
+    assert contents(upper, SAID)[0] == ["HELLO", "THERE", "", "[X]\n", "end"]
+
+
+def test_no_loss_where_a_learnt_text_is_not_whole(spark):
+    def last(messages):
+        return "".join(f"[{r}]{x}\n" for r, x in messages[-2:])
+
+    rows = spark.createDataFrame([(c, i, r, x) for c, n in ((1, 2), (2, 4)) for i, (r, x) in enumerate(SAID[:n])], "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r for r in chat.format_conversations(rows, last).collect()}
+    assert out[2]["loss"] is None and out[2]["rewrites_history"] and out[2]["turns"][0]["content_start"] is None
+    x = out[1]["loss"][0]
+    assert out[1]["formatted"][x["start"] : x["end"]] == "there"
 
 
 def test_many_turns():
