@@ -2,7 +2,12 @@
 
 Terms are lower-cased runs of letters, hashed to 2**BITS values. The machine's score has a weight for each term of a text and,
 for each two of them, the product of their factors, so that pairs can say what neither says alone. It is fitted on a bounded
-sample of labelled rows; terms are chosen by their chi-square against the label in that sample. Every text is scored whole.
+sample of labelled rows. Most of its terms are those with the highest chi-square against the label in that sample; PAIRED are
+chosen for what they say beside one of the LEAD foremost of those, beyond what that one says alone. Every text is scored whole.
+
+The bounds were set by four-fold cross-validation on labelled rows that are not held out. Over 3,200 of these (sf0.1), recall
+and false alarms were 0.855 and 0.000 with 256 terms of which 64 for pairs, 0.849 and 0.001 without pairs, 0.832 and 0.000 with
+512, 0.795 and 0.003 with 1024, and 0.39 and 0.004 with all terms let in, where rare ones drown the rest.
 
 A null text counts as empty and gets the score of a text without any known term. Rows without an id, and ids without a label,
 are scored like others but teach nothing; an id that is labelled more than once has the larger label. Repeated rows are scored
@@ -25,7 +30,9 @@ from vellum.llm.shared import settle
 
 BITS = 26
 #: Bounds of what is learnt from: labelled rows (those with the smallest hashed ids), and terms that the machine knows.
-SAMPLE_ROWS, TERMS = 20_000, 1024
+SAMPLE_ROWS, TERMS, PAIRED, LEAD = 20_000, 256, 64, 64
+#: Sampled texts that a term stands in at least, at every size.
+LEAST = 2
 FACTORS = 4
 PRIOR = 0.5**4
 _NOT_LETTER = np.ones(256, bool)
@@ -108,10 +115,36 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     n, bad = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("y")).first())
     a, b = F.col("bad"), F.col("n") - F.col("bad")
     c, d = F.lit(bad) - a, F.lit(n - bad) - b
-    chi = F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(max(1, bad) * max(1, n - bad)).cast("double") + 1)
-    terms = sample.mapInArrow(tally, "term long, n long, bad long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    terms = terms.filter(F.col("n") >= max(4, n // 1000)).orderBy(chi.desc(), "term").limit(TERMS)
-    known = Machine(np.sort(np.array([r[0] for r in terms.collect()], np.int64)), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+    chi = (F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(max(1, bad) * max(1, n - bad)).cast("double") + 1)).alias("chi")
+    sums = [F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")]
+    often = F.col("n") >= LEAST
+    single = sample.mapInArrow(tally, "term long, n long, bad long").groupBy("term").agg(*sums).filter(often)
+    best = single.select("term", chi).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    lead = {r["term"]: r["chi"] for r in best[:LEAD]}
+    foremost = np.sort(np.array(list(lead), np.int64))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many texts, and how many of the label, a term stands beside a leading one."""
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for row, size, doc, term in _terms(batch.column(0)):
+                first = np.searchsorted(doc, np.arange(size + 1))
+                leads = np.flatnonzero(np.isin(term, foremost))
+                count = np.diff(first)[doc[leads]]
+                of = np.repeat(leads, count)
+                other = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[doc[of]]
+                pair = np.searchsorted(foremost, term[of]) << BITS | term[other]
+                key, at, seen = np.unique(pair, return_inverse=True, return_counts=True)
+                bad = np.bincount(at, weights=y[row + doc[of]], minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(foremost[key >> BITS]), pa.array(key & ((1 << BITS) - 1)), pa.array(seen), pa.array(bad)], ["lead", "term", "n", "bad"])
+
+    alone = F.create_map(*[F.lit(x) for kv in lead.items() for x in kv]) if lead else F.create_map().cast("map<bigint,double>")
+    both = sample.mapInArrow(beside, "lead long, term long, n long, bad long").groupBy("lead", "term").agg(*sums).filter(often & ~F.col("term").isin(list(lead)))
+    more = (chi - F.try_element_at(alone, F.col("lead"))).alias("more")
+    paired = both.select("term", more).groupBy("term").agg(F.max("more").alias("more")).filter("more > 0").orderBy(F.desc("more"), "term").limit(PAIRED)
+    chosen = {r["term"] for r in paired.collect()} if lead else set()
+    chosen |= {r["term"] for r in best[: TERMS - len(chosen)]}
+    known = Machine(np.array(sorted(chosen), np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
