@@ -1,50 +1,104 @@
 """Mixing sources to target weights: token weights are raked to source, language and topic marginals by iterative proportional
 fitting, and documents are sampled by the probabilities that come out.
 
-DataFrame functions only. Tokens are words ``[^\\x20\\x09-\\x0D]+``. A null source or language counts as the empty one, a null
-text as empty. Documents are chosen by a hash of their id (of their text where the id is null), so repeated rows and tied ids
-are chosen alike, and a second run chooses the same. An empty table gives an empty result. Further columns are kept; columns
-that are added take underscores where a name is taken.
+DataFrame functions only. Tokens are words ``[^\\x20\\x09-\\x0D]+``. Where no topic is given, topics are clusters of all documents
+by their content words: words of ``LONG`` letters or more are counted in BINS hashed bins, and spherical k-means groups the
+counts; texts without such words have the empty topic. A null source or language counts as the empty one, a null text as
+empty. Texts are read whole; a document is one row throughout, however long. Documents are chosen by a hash of their id (of
+their text where the id is null), so repeated rows and tied ids are chosen alike, and a second run chooses the same. An empty
+table gives an empty result. Further columns are kept; columns that are added take underscores where a name is taken.
+
+Targets that are given must name values that have tokens, and must be met to within ``CLOSE_ENOUGH``; a ValueError says which
+aren't. Targets that follow from the data may contradict each other (a source that has one language only); the nearest fit is
+taken then, and a warning tells how far it is off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import logging
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.text import once
 from vellum.llm.shared import free_column, settle, small
 
-WORD = r"[^\x20\x09-\x0D]+"
-#: Languages and topics are few: their totals, and the table of one by the other, come to the driver. Sources stay distributed.
-MOST_VALUES = 2000
+SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Up to so many different (source, language, topic), their sums are fitted on the driver; beyond that by grouped sums and joins.
+FEW_CELLS = 50_000
 #: A target share is the observed share to this power, made to add up to one: 1 leaves a marginal as it is, 0 makes it even.
 SOURCE_POWER, LANG_POWER, TOPIC_POWER = 0.7, 0.5, 0.8
+CLOSE_ENOUGH = 1e-3
+LONG, BINS, TOPICS, STEPS = 8, 16, 6, 5
 
 
 def n_tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    """A text's words: its parts between separators, less the empty ones at its ends."""
+    parts = F.split(F.coalesce(text.cast("string"), F.lit("")), SEPARATORS, -1)
+    empty = lambda p, i: F.when(F.get(p, i) == "", 1).otherwise(0)
+    return once(parts, lambda p: F.greatest(F.lit(0), F.size(p) - empty(p, F.lit(0)) - empty(p, F.size(p) - 1))).cast("long")
+
+
+# topics
+
+
+def content_bins(text: Column) -> Column:
+    """How many of a text's long words fall in each bin. The bins' marks are joined to one string, in which each is counted."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(rf"\p{{L}}{{{LONG},}}"), F.lit(0))
+    marks = F.array_join(F.transform(words, lambda w: F.char(F.pmod(F.xxhash64(w), F.lit(BINS)) + 48)), "")
+    return once(marks, lambda m: F.array(*[(F.length(m) - F.length(F.replace(m, F.lit(chr(48 + b)), F.lit("")))).cast("float") for b in range(BINS)]))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def topic_of(bins: Column, centres: list[list[float]]) -> Column:
+    """The centre with the largest product, the first of equals, as a name; empty without any content word."""
+    if not centres:
+        return F.lit("")
+    best = F.array_max(F.array(*[F.struct(_dot(bins, F.array(*map(F.lit, c))).alias("v"), F.lit(-k).alias("k")) for k, c in enumerate(centres)]))["k"]
+    return F.when(_dot(bins, bins) > 0, F.concat(F.lit("t"), (-best).cast("string"))).otherwise("")
+
+
+def learn_topics(bins: DataFrame, topics: int = TOPICS, steps: int = STEPS) -> list[list[float]]:
+    """Unit centres of spherical k-means over the bins of all documents, a column of settled rows. Documents begin in the cluster of their fullest bin; each step sums
+    the unit vectors of a cluster, bin by bin, combined before the shuffle. What comes to the driver is topics times BINS sums."""
+    vectors = bins.toDF("bins").withColumn("norm", F.sqrt(_dot(F.col("bins"), F.col("bins")))).filter("norm > 0")
+    fullest = F.array_position("bins", F.array_max("bins")) - 1
+    centres: list[list[float]] = []
+    for step in range(steps):
+        name = F.concat(F.lit("t"), (fullest % topics).cast("string")) if not step else topic_of(F.col("bins"), centres)
+        sums = vectors.groupBy(name.alias("topic")).agg(*[F.sum(F.get("bins", F.lit(b)) / F.col("norm")).alias(f"b{b}") for b in range(BINS)]).orderBy("topic").collect()
+        before, centres = centres, []
+        for r in sums:
+            size = sum(x * x for x in r[1:]) ** 0.5
+            centres.append([round(x / size, 6) for x in r[1:]])
+        if centres == before:
+            break
+    return centres
 
 
-def topic_of(text: Column) -> Column:
-    """A document's register, which stands for its topic where no topic is given: from shares of signs, capitals and digits."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.greatest(F.lit(1), F.length(text))
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / size
-    return (
-        F.when(share(r"[#*$%&|<>{}=;]") > 0.04, "markup")
-        .when(share("[A-Z]") > 0.3, "capitals")
-        .when(share("[0-9]") > 0.03, "figures")
-        .when(size < 800, "note")
-        .when(size < 4000, "article")
-        .otherwise("book")
-    )
+# raking
 
 
-def _targets(totals: dict[str, float], told: dict[str, float] | None, power: float) -> dict[str, float]:
-    """Shares for the values that have tokens, adding up to one."""
-    raw = {k: (told.get(k, 0.0) if told is not None else v**power) if v > 0 else 0.0 for k, v in totals.items()}
-    whole = sum(raw.values())
-    return {k: v / whole if whole else 0.0 for k, v in raw.items()}
+def _targets(totals: DataFrame, told: dict[str, float] | None, power: float, what: str) -> DataFrame:
+    """(value, own, want) for the values of a marginal: what they have, and the share they are to have."""
+    spark = totals.sparkSession
+    if told is None:
+        raw = F.when(F.col("own") > 0, F.pow("own", F.lit(power))).otherwise(0.0)
+        out = totals.withColumn("raw", raw)
+    else:
+        given = _table(spark, told).withColumnRenamed("factor", "raw")
+        lost = [r[0] for r in given.filter("raw > 0").join(totals.filter("own > 0"), "value", "left_anti").orderBy("value").limit(20).collect()]
+        if lost:
+            raise ValueError(f"no tokens for the {what}s {lost}")
+        out = totals.join(given, "value", "left").withColumn("raw", F.when(F.col("own") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0))
+    out = settle(out)
+    whole = out.agg(F.sum("raw")).first()[0] or 1.0
+    return out.select("value", "own", (F.col("raw") / whole).alias("want"))
 
 
 def rake(
@@ -54,71 +108,65 @@ def rake(
     topics: dict[str, float] | None = None,
     rounds: int = 60,
     close: float = 1e-7,
-) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """Factors by source (source, factor), language and topic for cells (source, lang, topic, tokens): tokens times the three
-    factors add up to the target share of every source, language and topic.
+) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """Factors (value, factor) by source, language and topic for cells (source, lang, topic, tokens): tokens times the three
+    factors add up to the target share of every source, language and topic. Then how far a share is off at most.
 
-    Each round scales the sources in their rows; the languages' and topics' factors are fitted to the table of one by the
-    other that the sources' sums leave, which is all that comes to the driver.
+    FEW_CELLS cells or fewer come to the driver, which fits the factors to them; else each round takes a grouped sum and a join
+    for each of the three.
     """
-    spark = cells.sparkSession
-    pairs = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(MOST_VALUES**2 + 1).collect()
-    by_lang: dict[str, float] = {}
-    by_topic: dict[str, float] = {}
-    for lang, topic, tokens in pairs:
-        by_lang[lang] = by_lang.get(lang, 0.0) + tokens
-        by_topic[topic] = by_topic.get(topic, 0.0) + tokens
-    if max(len(by_lang), len(by_topic), 0) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} languages or topics; group them first")
-    want_lang, want_topic = _targets(by_lang, langs, LANG_POWER), _targets(by_topic, topics, TOPIC_POWER)
-    lang_at, topic_at = list(by_lang), list(by_topic)
-    own = F.sum("tokens").alias("own")
-    per_source = cells.groupBy("source").agg(own, F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells"))
-    if sources is None:
-        raw = F.pow("own", F.lit(SOURCE_POWER))
-        want = F.when(F.col("own") > 0, raw).otherwise(0.0)
-    else:
-        told = spark.createDataFrame([(k, float(v)) for k, v in sources.items()], "source string, told double")
-        per_source = per_source.join(told, "source", "left")
-        want = F.when(F.col("own") > 0, F.coalesce("told", F.lit(0.0))).otherwise(0.0)
-    per_source = settle(per_source.withColumn("want", want))
-    whole = per_source.agg(F.sum("want")).first()[0] or 1.0
-
-    def factors(b: dict[str, float], c: dict[str, float]) -> DataFrame:
-        weigh = lambda x: x["tokens"] * F.get(_numbers(b, lang_at), F.array_position(_names(lang_at), x["lang"]).cast("int") - 1) * F.get(_numbers(c, topic_at), F.array_position(_names(topic_at), x["topic"]).cast("int") - 1)
-        total = F.aggregate("cells", F.lit(0.0), lambda s, x: s + weigh(x))
-        return per_source.withColumn("factor", F.when(total > 0, F.col("want") / whole / total).otherwise(0.0))
-
-    b, c = dict.fromkeys(by_lang, 1.0), dict.fromkeys(by_topic, 1.0)
-    for _ in range(rounds if pairs else 0):
-        scaled = factors(b, c).select("factor", F.explode("cells").alias("x"))
-        table = {(r[0], r[1]): r[2] for r in scaled.groupBy("x.lang", "x.topic").agg(F.sum(F.col("factor") * F.col("x.tokens"))).collect()}
-        off = max(_scale(table, b, c, want_lang, 0), _scale(table, b, c, want_topic, 1))
-        for _ in range(20):
-            _scale(table, b, c, want_lang, 0)
-            _scale(table, b, c, want_topic, 1)
+    told = {"source": (sources, SOURCE_POWER), "lang": (langs, LANG_POWER), "topic": (topics, TOPIC_POWER)}
+    want = {k: _targets(cells.groupBy(F.col(k).alias("value")).agg(F.sum("tokens").alias("own")), t, power, k) for k, (t, power) in told.items()}
+    few = cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    factors, off = (_fit_few if few else _fit_many)(cells, want, rounds, close)
+    if off > CLOSE_ENOUGH:
+        if any(t is not None for t, _ in told.values()):
+            raise ValueError(f"the targets contradict each other: a share is off by {off:.4f}")
+        logging.getLogger(__name__).warning("the targets contradict each other: a share is off by %.4f", off)
+    return *(factors[k] for k in told), off
+
+
+def _table(spark: SparkSession, of: dict[str, float]) -> DataFrame:
+    """(value, factor)"""
+    said = json.dumps({str(k): float(v) for k, v in of.items()})
+    return spark.range(1).select(F.explode(F.from_json(F.lit(said), "map<string,double>")).alias("value", "factor"))
+
+
+def _fit_few(cells: DataFrame, want: dict[str, DataFrame], rounds: int, close: float) -> tuple[dict[str, DataFrame], float]:
+    share = {k: {r["value"]: r["want"] for r in v.orderBy("value").collect()} for k, v in want.items()}
+    table = [(tuple(r[:3]), r[3]) for r in cells.groupBy(*want).agg(F.sum("tokens")).orderBy(*want).collect()]  # FEW_CELLS at most
+    now = {k: dict.fromkeys(v, 1.0) for k, v in share.items()}
+    off = 0.0
+    for _ in range(20 * rounds):
+        worst = []
+        for side, k in enumerate(want):
+            sums = dict.fromkeys(share[k], 0.0)
+            for (a, b, c), v in table:
+                sums[(a, b, c)[side]] += v * now["source"][a] * now["lang"][b] * now["topic"][c]
+            worst.append(max((abs(sums[x] - v) for x, v in share[k].items()), default=0.0))
+            for x, v in share[k].items():
+                now[k][x] = now[k][x] * v / sums[x] if sums[x] > 0 else 0.0
+        off = max(worst[1:])
         if off < close:
             break
-    return factors(b, c).select("source", "factor"), b, c
-
-
-def _scale(table: dict[tuple[str, str], float], b: dict[str, float], c: dict[str, float], want: dict[str, float], side: int) -> float:
-    """One step on one side, in place; how far its sums were off."""
-    sums = dict.fromkeys(want, 0.0)
-    for key, v in table.items():
-        sums[key[side]] += v * b[key[0]] * c[key[1]]
-    mine = (b, c)[side]
-    for k, v in want.items():
-        mine[k] = mine[k] * v / sums[k] if sums[k] > 0 else 0.0
-    return max((abs(sums[k] - v) for k, v in want.items()), default=0.0)
-
-
-def _names(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
-
-
-def _numbers(of: dict[str, float], order: list[str]) -> Column:
-    return F.array(*[F.lit(float(of[k])) for k in order]) if order else F.array().cast("array<double>")
+    return {k: _table(cells.sparkSession, v) for k, v in now.items()}, off
+
+
+def _fit_many(cells: DataFrame, want: dict[str, DataFrame], rounds: int, close: float) -> tuple[dict[str, DataFrame], float]:
+    factors = {k: v.select("value", F.lit(1.0).alias("factor")) for k, v in want.items()}
+    off = 0.0
+    for _ in range(rounds):
+        worst = []
+        for k in ("source", "lang", "topic"):
+            rows = reduce(lambda d, j: d.join(small(factors[j].select(F.col("value").alias(j), F.col("factor").alias(f"f_{j}"))), j), factors, cells)
+            sums = rows.groupBy(F.col(k).alias("value")).agg(F.sum(F.col("tokens") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("s"))
+            new = settle(sums.join(want[k], "value").join(factors[k], "value"))
+            worst.append(new.agg(F.max(F.abs(F.col("s") - F.col("want")))).first()[0] or 0.0)
+            factors[k] = new.select("value", F.when(F.col("s") > 0, F.col("factor") * F.col("want") / F.col("s")).otherwise(0.0).alias("factor"))
+        off = max(worst[1:])
+        if off < close:
+            break
+    return factors, off
 
 
 def mix(
@@ -138,16 +186,21 @@ def mix(
     names = [free_column(docs, n) for n in ("n_tokens", "topic", "rate", "copies")]
     tokens, theme, rate, copies = names
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.withColumns({tokens: n_tokens(F.col(text)), theme: F.coalesce(topic if topic is not None else topic_of(F.col(text)), F.lit(""))})
+    held = free_column(docs, "bins")
+    bins = content_bins(F.col(text)) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    rows = settle(docs.withColumns({tokens: n_tokens(F.col(text)), held: bins}))  # texts are looked through once
+    rows = rows.withColumn(theme, topic_of(F.col(held), learn_topics(rows.select(held))) if topic is None else F.col(held)).drop(held)
     cells = rows.groupBy(label(source).alias("source"), label(lang).alias("lang"), F.col(theme).alias("topic")).agg(F.sum(tokens).cast("double").alias("tokens"))
     cells = settle(cells)
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    factors, b, c = rake(cells, **targets)
-    key, factor = free_column(rows, "source_key"), free_column(rows, "factor")
-    factors = factors.select(F.col("source").alias(key), F.col("factor").alias(factor))
-    out = rows.withColumn(key, label(source)).join(small(settle(factors)), key)
-    at = lambda of, name: F.get(_numbers(of, list(of)), F.array_position(_names(list(of)), name).cast("int") - 1)
-    out = out.withColumn(rate, F.lit(budget * total) * F.col(factor) * at(b, label(lang)) * at(c, F.col(theme)))
+    *factors, _ = rake(cells, **targets)
+    out, weight = rows, F.lit(budget * total)
+    for column, of in zip((label(source), label(lang), F.col(theme)), factors, strict=True):
+        key, factor = free_column(out, "key"), free_column(out, "factor")
+        of = settle(of.select(F.col("value").alias(key), F.col("factor").alias(factor)))
+        out = out.withColumn(key, column).join(small(of), key).drop(key)
+        weight = weight * F.col(factor)
+    out = out.withColumn(rate, weight)
     spin = F.xxhash64(F.lit(seed), F.coalesce(F.col(id).cast("string"), F.col(text).cast("string")))
     chance = F.shiftrightunsigned(spin, 11).cast("double") / F.lit(float(1 << 53))
     out = out.withColumn(copies, F.floor(rate) + F.when(chance < F.col(rate) - F.floor(rate), 1).otherwise(0))
