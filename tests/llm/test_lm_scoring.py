@@ -30,6 +30,32 @@ def test_base_matches_brute_force_and_the_model_beats_it(spark):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
+def test_score_matches_a_model_with_exact_quantised_counts(spark):
+    """The filter's false alarms can only raise counts, and seldom do."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
+    words_, pairs, texts = Counter(), Counter(), 0
+    for i, x in docs.items():
+        if not held[i]:
+            t = tokens(x)
+            words_.update(t)
+            pairs.update(zip(["start", *t[:-1]], t, strict=True))
+            texts += 1
+    n, v = sum(words_.values()), len(words_)
+    rough = lambda c: 0.0 if not c else 1.0 if c == 1 else math.ldexp(4 / 3, c.bit_length() - 1)
+    rows = queries.QUERIES["op1_lm"](spark, "/root/testdata/sf0.001").collect()
+    off = []
+    for r in rows:
+        want, before = 0.0, "start"
+        for t in tokens(docs[r["doc_id"]]):
+            c, h = words_[t], texts if before == "start" else words_[before]
+            both = min(rough(pairs[before, t]), c, h) if c and h else 0.0
+            want += math.log10((both + lm_scoring.MU * (c + 1) / (n + v + 1)) / (h + lm_scoring.MU))
+            before = t
+        off.append((r["score"] - want) / r["n_tokens"])
+    assert np.abs(off).max() < 0.1 and abs(np.mean(off)) < 0.02, (min(off), max(off), np.mean(off))
+
+
 def test_words_under_the_threshold_are_counted_by_the_join(spark, edges, monkeypatch):
     whole = {str(r[0]) + str(r["n_tokens"]): r for r in lm_scoring.score(edges, F.lit(True)).collect()}
     monkeypatch.setattr(lm_scoring, "HOT", 4)

@@ -144,7 +144,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Da
     spark = docs.sparkSession
     rows = docs.filter(train).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size, texts = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    buckets = int(min(65536, max(64, (size or 0) // BUCKET_BYTES)))
+    buckets = int(max(64, (size or 0) // BUCKET_BYTES))  # so that a bucket stays small at every size
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {"word": [], "pair": []}
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Da
     gathered = rows.mapInArrow(gather, "bucket int, kind string, keys binary, counts binary")
     columns_for_python(spark, 2000)
     dealt = settle_small_batches(gathered.repartition("bucket").sortWithinPartitions("bucket"), build)
-    heads = dealt.select("bucket", "least", "tokens", "levels").collect()  # a few numbers for each of 65536 buckets at most
+    heads = dealt.select("bucket", "least", "tokens", "levels").collect()  # a few numbers a bucket, beside the filter's bytes
     levels = np.zeros(65, np.int64)
     for r in heads:
         levels += np.array(r["levels"], np.int64)
