@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from functools import cmp_to_key
 
 import pandas as pd
 import pytest
@@ -108,6 +110,81 @@ def test_order_of_items_does_not_matter():
         assert ly.page_lines(items, ly.Grouping()) == want
 
 
+def brute_lines(items):
+    """One item after the other, by the definitions: directions, bands, gaps, overprint, order."""
+    left, out = sorted(items, key=lambda i: (i["rotation"], i["item_index"])), []
+    while left:
+        angle = left[0]["rotation"]
+        bucket = [i for i in left if i["rotation"] - angle <= 2]
+        left = left[len(bucket) :]
+        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+        seen = []
+        for i in bucket:
+            v = i["baseline_y"] * c - i["baseline_x"] * s
+            up, down = (i["font_size"] / 2, i["font_size"] / 2) if i["dir"] == "ttb" else (i["ascent"], i["descent"])
+            u = i["baseline_x"] * c + i["baseline_y"] * s
+            seen.append({**i, "u": u, "e": u + i["advance"], "v": v, "lo": v - down, "hi": v + up})
+        rows = []
+        for i in sorted(seen, key=lambda i: (-i["v"], i["u"])):
+            for row in rows[::-1][:8]:
+                j = row[0]
+                least = min(i["hi"] - i["lo"], j["hi"] - j["lo"])
+                shared = min(i["hi"], j["hi"]) - max(i["lo"], j["lo"])
+                small, large = sorted((i, j), key=lambda k: k["font_size"])
+                alike = large["font_size"] <= 1.5 * small["font_size"] or len(small["text"].strip()) <= 3
+                if least > 0 and shared >= 0.5 * least and alike:
+                    row.append(i)
+                    break
+            else:
+                rows.append([i])
+        for row in rows:
+            lines = []
+            for i in sorted(row, key=lambda i: (i["u"], i["item_index"])):
+                last = lines[-1][-1] if lines else None
+                if last and last["text"] == i["text"] and (min(last["e"], i["e"]) - max(last["u"], i["u"])) / max(last["e"] - last["u"], 1e-6) > 0.7:
+                    continue
+                far = last is not None and i["u"] - max(k["e"] for k in lines[-1]) > 1.5 * max(last["font_size"], i["font_size"])
+                if last is None or far:
+                    lines.append([])
+                lines[-1].append(i)
+            for line in lines:
+                text = line[0]["text"]
+                for n, i in enumerate(line[1:], 1):
+                    gap = i["u"] - max(k["e"] for k in line[:n])
+                    text += (" " if gap > 0.18 * i["font_size"] and not text[-1:].isspace() and not i["text"][:1].isspace() else "") + i["text"]
+                x, y = min(i["x"] for i in line), min(i["y"] for i in line)
+                w, h = max(i["x"] + i["width"] for i in line) - x, max(i["y"] + i["height"] for i in line) - y
+                mid = len(line) // 2
+                out.append((" ".join(text.split()), x, y, w, h, angle, sorted(i["font_size"] for i in line)[mid], sorted(i["baseline_y"] for i in line)[mid], [i["id"] for i in line]))
+    by = lambda p, q: q[2] + q[4] - p[2] - p[4] if abs(q[2] + q[4] - p[2] - p[4]) > 0.5 * min(p[6], q[6]) else p[1] - q[1]
+    return sorted(out, key=cmp_to_key(by))
+
+
+def random_page(rng):
+    n = rng.randint(0, 40)
+    return [
+        item(i, rng.choice(["ab", "cde", "f", " x", "long word", "tail "]), 10.0 + 7 * rng.randint(0, 60), 700.0 - 5 * rng.randint(0, 40), rng.choice([8.0, 10.0, 12.0, 20.0]), rng.choice([0.0, 0.0, 0.0, 1.5, 2.5, 4.0, 90.0]), dir=rng.choice(["ltr", "ltr", "ttb", "rtl"]))
+        for i in range(n)
+    ]
+
+
+def test_grouping_matches_brute_force_on_random_pages(spark):
+    rng = random.Random(12)
+    pages = [random_page(rng) for _ in range(300)]
+    for items in pages:
+        want, got = brute_lines(items), ly.page_lines(items, ly.Grouping())
+        assert [(x[0], x[8]) for x in got] == [(x[0], x[8]) for x in want]
+        assert all(a[1:8] == pytest.approx(b[1:8]) for a, b in zip(got, want, strict=True))
+    rows = [i | {"doc_id": d // 7, "page_index": d % 7} for d, items in enumerate(pages) for i in items]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # pages go on in the next batch
+    out = ly.group_lines(spark.createDataFrame(pd.DataFrame(rows)), ["doc_id", "page_index"]).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["page_index"], r["line_no"])):
+        found.setdefault((r["doc_id"], r["page_index"]), []).append((r["text"], r["item_ids"]))
+    assert found == {(d // 7, d % 7): [(x[0], x[8]) for x in brute_lines(items)] for d, items in enumerate(pages) if items}
+
+
 def test_group_lines_of_pages(spark):
     rows = [item(i, "w", 10 + 20 * i, 100) | {"doc_id": d, "page_index": p} for d in (1, 2) for p in (0, 1) for i in range(2)]
     out = ly.group_lines(spark.createDataFrame(pd.DataFrame(rows)), ["doc_id", "page_index"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.catalog import language, pages
+from vellum.catalog import language, pages, processing
 from vellum.catalog.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "language", "pages"]
+__all__ = ["QUERIES", "SQL", "language", "pages", "processing"]

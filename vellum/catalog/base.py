@@ -54,7 +54,7 @@ LAID = (
     LINES
     + """,
 laid AS (
-  SELECT *, 'p' || page_index || '-l' || r AS line_id, r AS ordinal, 72.0 + 24.0 * (r % 2) AS x, 720.0 - 13.0 * r - 0.25 * font_size AS y, least(length(text), 80) * font_size * 0.5 AS width,
+  SELECT *, 'p' || page_index || '-l' || r AS line_id, r AS ordinal, 72.0 + 24.0 * (r % 2) AS x, 720.0 - 13.0 * r - 0.25 * font_size AS y, length(text) * font_size * 0.5 AS width,
     font_size AS height, 720.0 - 13.0 * r AS baseline, CASE WHEN line_no % 5 = 0 THEN 0.25 + 0.5 * (line_no % 2) END AS ocr_confidence, ((length(text) * 7) % 101) / 100.0 AS confidence FROM (
     SELECT doc_id, line_no, text, CAST(line_no // 8 AS INTEGER) AS page_index, line_no % 8 AS r, CAST(10.0 + 2.0 * (line_no % 8 % 3) AS DOUBLE) AS font_size FROM lines))"""
 )
@@ -89,7 +89,7 @@ def laid(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ordinal": F.col("r"),
             "baseline": base,
             "rotation": F.lit(0.0),
-            "bbox": g.box(72 + 24 * (F.col("r") % 2), base - 0.25 * size, F.least(n, F.lit(80)) * size * 0.5, size),
+            "bbox": g.box(72 + 24 * (F.col("r") % 2), base - 0.25 * size, n * size * 0.5, size),
             "ocr_confidence": F.when(F.col("line_no") % 5 == 0, 0.25 + 0.5 * (F.col("line_no") % 2)),
             "confidence": ((n * 7) % 101) / 100.0,
         }

@@ -9,6 +9,7 @@ from vellum.catalog.base import LINES, SP, lines, query, values
 from vellum.functions import lexicon as lx
 from vellum.functions import text as tx
 from vellum.operators import detect as dt
+from vellum.operators import trigrams as tg
 from vellum.operators.lines import joined_text
 from vellum.sources.files import table
 
@@ -61,16 +62,16 @@ split AS (
 keyed AS (
   SELECT *, lower(text) AS low, translate(lower(text), '{_MARKED}', '{_BARE}') AS key, translate(lower(text), '{_TONED}', '{_UNTONED}') AS toneless,
     length(text) - length(translate(lower(text), '{_TONED}', '')) AS tones FROM split),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT k.*, regexp_matches(text, '[{lx.STRONG}]') AS strong, regexp_matches(text, '[{lx.WEAK}]') AS weak,
     m.s IS NOT NULL AND tones <= 1 AND NOT (regexp_matches(toneless, '(p|t|c|ch)$') AND regexp_matches(low, '[{lx.not_before_stop()}]')) AS valid,
     p.s IS NOT NULL AS plain, regexp_full_match(text, '\p{{Lu}}\p{{Ll}}*') AS title, regexp_full_match(text, '\p{{Lu}}') AS initial
   FROM keyed k LEFT JOIN marked m ON m.s = k.toneless LEFT JOIN plain p ON p.s = k.key),
-islands AS (
+islands AS MATERIALIZED (
   SELECT *, i - row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i) AS island FROM tokens WHERE (title AND plain) OR initial OR low = 'vietnam'),
 runs AS (
   SELECT doc_id, line_no, island, count(*) AS n, list(key ORDER BY i) AS ks, arg_max(initial, i) AS last_initial, bool_and(key IN ({_list(lx.VI_PLACE_WORDS)})) AS places FROM islands GROUP BY ALL),
-names AS (
+names AS MATERIALIZED (
   SELECT doc_id, line_no, island FROM runs
   WHERE (n BETWEEN 2 AND 4 AND ks[1] IN ({_list(lx.VI_SURNAMES)}) AND (n = 2 OR ks[2] IN ({_list(lx.VI_MIDDLE_NAMES)}) OR last_initial)) OR (places AND (n >= 2 OR ks[1] = 'vietnam'))),
 named AS (
@@ -147,7 +148,7 @@ def token_syllable_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("t.text", "t.valid", "t.plain").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TOKENS} SELECT doc_id, line_no, i, text FROM named WHERE in_name")
+@query(f"WITH {TOKENS} SELECT s.doc_id, s.line_no, s.i, s.text FROM names n JOIN islands s ON s.doc_id = n.doc_id AND s.line_no = n.line_no AND s.island = n.island")
 def name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dt.tokens(all_lines(spark, sf_dir)).select("doc_id", "line_no", F.posexplode("tokens").alias("i", "t"))
     return rows.filter("t.in_name").select("doc_id", "line_no", "i", "t.text")
@@ -229,8 +230,6 @@ def detector_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.operators import trigrams as tg
-
     docs = table(spark, sf_dir, "documents")
     return tg.guess(docs.select("doc_id", "text"), tg.profiles(docs), ["doc_id"])
 
@@ -240,11 +239,22 @@ def trigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed(spark, sf_dir).select("doc_id", "language", tx.round_half_up(F.col("score"), 6).alias("score"), tx.round_half_up(F.col("runner_up"), 6).alias("runner_up"))
 
 
-_CODE_ROWS = [("eng", "en"), ("vie", "vi"), ("deu", "de"), ("xyz", "xyz"), ("und", "und")]
+_CODES = ["eng", "vie", "deu", "kor", "xyz", "und"]
 
 
-@query(f"WITH {values('t', 'code, label', _CODE_ROWS)} SELECT code, label FROM t")
+@query(f"""WITH {values("t", "code", [(c,) for c in _CODES])}, every AS (SELECT code FROM t UNION ALL SELECT lang FROM documents)
+SELECT code, CASE {" ".join(f"WHEN code = '{k}' THEN '{v}'" for k, v in tg.CODES.items())} ELSE code END AS label, count(*) AS n FROM every GROUP BY ALL""")
 def language_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.operators import trigrams as tg
+    told = spark.createDataFrame([(c,) for c in _CODES], "code string").unionByName(table(spark, sf_dir, "documents").select(F.col("lang").alias("code")))
+    return told.withColumn("label", tg.short_code(F.col("code"))).groupBy("code", "label").agg(F.count("*").alias("n"))
+
+
+#: Which of the lines of our own are Vietnamese; of names alone nothing is said.
+TRUTH = [(INLINE[i], vi) for i, vi in ((0, True), (1, True), (2, True), (6, True), (10, False), (11, False), (12, False), (13, True), (14, True), (17, False), (19, False), (20, False), (21, True))]
+
 
-    return spark.createDataFrame([r[:1] for r in _CODE_ROWS], "code string").withColumn("label", tg.short_code(F.col("code")))
+@query(f"""WITH {SIGNALS}, {values("truth", "text, vi", TRUTH)} SELECT s.doc_id, s.line_no, t.vi, {_TIER} AS tier FROM scored s JOIN truth t ON t.text = s.text""")
+def fixture_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = spark.createDataFrame(TRUTH, "text string, vi boolean")
+    rows = scored(spark, sf_dir).join(F.broadcast(truth), "text")
+    return rows.select("doc_id", "line_no", "vi", dt.tier(F.col("confidence"), dt.Thresholds()).alias("tier"))

@@ -162,12 +162,28 @@ def ocr_render_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_SIZES, "w double, h double").withColumn("scale", tx.round_half_up(ly.scanned_scale(F.col("w"), F.col("h")), 3))
 
 
+_PAGES_SQL = "p AS (SELECT doc_id, page_index, 300.0 + max(width) AS width, 400.0 + 16.0 * count(*) AS height FROM laid GROUP BY ALL)"
+
+
+def sized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laid(spark, sf_dir).groupBy(*PAGE).agg((300.0 + F.max("bbox.width")).alias("width"), (400.0 + 16.0 * F.count("*")).alias("height"))
+
+
 @query(
-    f"""WITH {values("t", "w, h", _SIZES)} SELECT CAST(max(w) * 4 / 3 AS DOUBLE) AS widest, {r3("least(6, greatest(0.1, (1000 - 48) / (max(w) * 4 / 3)))", "fit_width")} FROM t"""
+    f"""WITH {LAID}, {_PAGES_SQL}, w AS (SELECT doc_id, least(6, greatest(0.1, (1000 - 48) / max(width))) AS fit_width FROM p GROUP BY doc_id),
+h AS (SELECT doc_id, least(6, greatest(0.1, least((1000 - 48) / width, (700 - 48) / height))) AS fit_page FROM p WHERE page_index = 1 OR (page_index = 0 AND doc_id NOT IN (SELECT doc_id FROM p WHERE page_index = 1)))
+SELECT doc_id, {r3("fit_width", "fit_width")}, {r3("fit_page", "fit_page")} FROM w JOIN h USING (doc_id)"""
 )
 def fit_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame(_SIZES, "w double, h double").agg((F.max("w") * 4 / 3).alias("widest"))
-    return pages.withColumn("fit_width", tx.round_half_up(F.least(F.lit(6.0), F.greatest(F.lit(0.1), (1000 - 48) / F.col("widest"))), 3))
+    pages = sized_pages(spark, sf_dir)
+    wide = ly.fit_zoom(pages, ["doc_id"], "width", F.lit(1), 1000, 700).select("doc_id", tx.round_half_up(F.col("zoom"), 3).alias("fit_width"))
+    whole = ly.fit_zoom(pages, ["doc_id"], "page", F.lit(1), 1000, 700).select("doc_id", tx.round_half_up(F.col("zoom"), 3).alias("fit_page"))
+    return wide.join(whole, "doc_id")
+
+
+@query(f"WITH {LAID}, {_PAGES_SQL} SELECT doc_id, max(width) AS max_width, sum(height + 16) - 16 + 48 AS total_height FROM p GROUP BY doc_id")
+def layout_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ly.extent(sized_pages(spark, sf_dir), ["doc_id"])
 
 
 @query(
@@ -209,10 +225,10 @@ def region_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid(spark, sf_dir).select("doc_id", "line_id", keys.region_key(F.col("page_index"), F.col("bbox"), F.col("text")).alias("key"))
 
 
-@query(f"WITH {LAID} SELECT doc_id, page_index, line_id, {r3('x - 2', 'x')}, {r3('y - 1', 'y')}, {r3('width + 4', 'width')}, {r3('height + 2', 'height')}, confidence FROM laid WHERE line_no % 4 <> 3")
+@query(f"WITH {LAID} SELECT doc_id, page_index, line_id, {r3('x - 2', 'x')}, {r3('y - 1', 'y')}, {r3('width + 4', 'width')}, {r3('height + 2', 'height')}, confidence FROM laid WHERE confidence >= 0.25")
 def candidate_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = laid(spark, sf_dir)
-    found = rows.filter("line_no % 4 <> 3").select(*PAGE, "line_id", F.lit("rule").alias("detector"), F.lit("vi").alias("language"), "confidence")
+    found = rows.filter("confidence >= 0.25").select(*PAGE, "line_id", F.lit("rule").alias("detector"), F.lit("vi").alias("language"), "confidence")
     stray = found.limit(0).unionByName(spark.createDataFrame([(-1, 0, "p0-l0", "rule", "vi", 1.0)], found.schema))
     return mk.candidates(rows.drop("confidence"), found.unionByName(stray)).select(*PAGE, "line_id", *flat("mask"), "confidence")
 
@@ -221,13 +237,38 @@ def detections(rows: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "line_id", F.lit("rule").alias("detector"), F.lit("vi").alias("language"), "confidence")
 
 
-@query()
+_EDGE = f"""CASE WHEN NOT (least(m.r, o.x + o.w) > greatest(m.l, o.x) AND least(m.t, o.y + o.h) > greatest(m.b, o.y)) THEN m
+  WHEN abs(baseline - o.base) > {mk.ROW_EM} * greatest(font_size, o.s) THEN CASE WHEN o.base < baseline
+    THEN {{'l': m.l, 'r': m.r, 'b': greatest(m.b, least(baseline, CASE WHEN o.base + {mk.CAP_EM} * o.s <= baseline - {mk.DESCENDER_EM} * font_size THEN o.base + {mk.CAP_EM} * o.s ELSE (o.base + {mk.CAP_EM} * o.s + baseline - {mk.DESCENDER_EM} * font_size) / 2 END)), 't': m.t, 'x': 0.0, 'y': 0.0, 'w': 0.0, 'h': 0.0, 's': 0.0, 'base': 0.0}}
+    ELSE {{'l': m.l, 'r': m.r, 'b': m.b, 't': least(m.t, greatest(baseline + 0.5 * font_size, CASE WHEN o.base >= baseline + {mk.CAP_EM} * font_size THEN o.base ELSE (o.base + baseline + {mk.CAP_EM} * font_size) / 2 END)), 'x': 0.0, 'y': 0.0, 'w': 0.0, 'h': 0.0, 's': 0.0, 'base': 0.0}} END
+  WHEN o.x >= x + width / 2 THEN {{'l': m.l, 'r': least(m.r, greatest(x + width, (x + width + o.x) / 2)), 'b': m.b, 't': m.t, 'x': 0.0, 'y': 0.0, 'w': 0.0, 'h': 0.0, 's': 0.0, 'base': 0.0}}
+  WHEN o.x + o.w <= x + width / 2 THEN {{'l': greatest(m.l, least(x, (o.x + o.w + x) / 2)), 'r': m.r, 'b': m.b, 't': m.t, 'x': 0.0, 'y': 0.0, 'w': 0.0, 'h': 0.0, 's': 0.0, 'base': 0.0}}
+  ELSE m END"""
+
+
+def clip_sql(visible: str) -> str:
+    """Common table expressions: cut, the lines of told with their mask (l, r, b, t) cut back from those of visible."""
+    whole = "{'l': x - 2.0, 'r': x + width + 2.0, 'b': y - 1.0, 't': y + height + 1.0, 'x': 0.0, 'y': 0.0, 'w': 0.0, 'h': 0.0, 's': 0.0, 'base': 0.0}"
+    return f"""near AS (
+  SELECT a.doc_id, a.page_index, a.line_id, list({{'l': 0.0, 'r': 0.0, 'b': 0.0, 't': 0.0, 'x': o.x, 'y': o.y, 'w': o.width, 'h': o.height, 's': o.font_size, 'base': o.baseline}} ORDER BY o.ordinal) AS near
+  FROM told a JOIN {visible} o ON o.doc_id = a.doc_id AND o.page_index = a.page_index AND o.line_id <> a.line_id
+  WHERE least(a.x + a.width + 2, o.x + o.width) > greatest(a.x - 2, o.x) AND least(a.y + a.height + 1, o.y + o.height) > greatest(a.y - 1, o.y) GROUP BY ALL),
+cut AS (SELECT a.*, list_reduce(list_prepend({whole}, coalesce(near, [])), lambda m, o: {_EDGE}) AS c FROM told a LEFT JOIN near n ON n.doc_id = a.doc_id AND n.page_index = a.page_index AND n.line_id = a.line_id)"""
+
+
+_CUT_BOX = f"{r3('c.l', 'x')}, {r3('c.b', 'y')}, {r3('greatest(0, c.r - c.l)', 'width')}, {r3('greatest(0, c.t - c.b)', 'height')}"
+
+
+@query(f"WITH {LAID}, told AS (SELECT * FROM laid), {clip_sql('laid')} SELECT doc_id, page_index, line_id, {_CUT_BOX} FROM cut")
 def neighbour_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = laid(spark, sf_dir)
     return mk.clip(mk.candidates(rows.drop("confidence"), detections(rows)), rows).select(*PAGE, "line_id", *flat("mask"))
 
 
-@query()
+@query(
+    f"""WITH {LAID}, {OVERRIDDEN}, told AS (SELECT * FROM tiered), seen AS (SELECT * FROM tiered WHERE tier <> 'auto'), {clip_sql("seen")}
+SELECT doc_id, page_index, line_id, status, length(text) % 17 <> 0 AS visible, tier, {_CUT_BOX} FROM cut"""
+)
 def resolve_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = laid(spark, sf_dir)
     n = F.length("text")
@@ -354,14 +395,14 @@ def item_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LAID}, {OVERRIDDEN}, {_REGIONS}, chars AS (SELECT doc_id, page_index, ordinal * 100000 + i AS char_index, text[i + 1] AS c, x + (i + 0.5) * font_size * 0.5 AS cx, baseline AS cy FROM (SELECT *, unnest(range(least(length(text), 90))) AS i FROM laid)),
+    f"""WITH {LAID}, {OVERRIDDEN}, {_REGIONS}, chars AS (SELECT doc_id, page_index, ordinal * 10000000 + i AS char_index, c, x + (i + 0.5) * font_size * 0.5 AS cx, baseline AS cy FROM (SELECT *, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM laid)),
 hits AS (SELECT c.*, region_no FROM chars c JOIN regions g USING (doc_id, page_index) WHERE NOT regexp_full_match(c.c, '\\s*') AND cx BETWEEN x + 0.5 AND x + 0.5 + greatest(0, width - 1) AND cy BETWEEN y + 0.5 AND y + 0.5 + greatest(0, height - 1)
   QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, char_index ORDER BY region_no) = 1)
 SELECT doc_id, page_index, CAST(region_no AS INTEGER) AS region_no, count(*) AS n FROM hits GROUP BY ALL"""
 )
 def char_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = laid(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.length("text"), F.lit(90)) - 1)))
-    chars = rows.select(*PAGE, (F.col("ordinal") * 100000 + F.col("i")).alias("char_index"), F.expr("substring(text, i + 1, 1)").alias("char"), (F.col("bbox.x") + (F.col("i") + 0.5) * F.col("font_size") * 0.5).alias("cx"), F.col("baseline").alias("cy"))
+    rows = laid(spark, sf_dir).select(*PAGE, "ordinal", "bbox", "font_size", "baseline", F.posexplode(F.split("text", "")).alias("i", "char")).filter("char <> ''")
+    chars = rows.select(*PAGE, (F.col("ordinal") * 10000000 + F.col("i")).alias("char_index"), "char", (F.col("bbox.x") + (F.col("i") + 0.5) * F.col("font_size") * 0.5).alias("cx"), F.col("baseline").alias("cy"))
     return vf.char_leaks(chars, regions(spark, sf_dir)).groupBy(*PAGE, "region_no").agg(F.count("*").alias("n"))
 
 
@@ -425,7 +466,26 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("doc_id"), e.alias("seq"), op.alias("op"), F.concat(F.lit("k"), e % 5).alias("key"), value.alias("value"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE log AS (
+  SELECT user_id % 50 AS doc_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS n, {list(_OPS)}[CAST(event_id // 3 % 8 AS INTEGER) + 1] AS op, 'k' || event_id % 5 AS key,
+    CASE WHEN event_id % 2 = 0 THEN 'ignored' ELSE 'confirmed' END AS value FROM events),
+s AS (
+  SELECT doc_id, 0::BIGINT AS n, []::VARCHAR[] AS o, []::VARCHAR[] AS m, []::STRUCT(o VARCHAR[], m VARCHAR[])[] AS past, []::STRUCT(o VARCHAR[], m VARCHAR[])[] AS future FROM log GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, n,
+    CASE WHEN back THEN past[-1].o WHEN forth THEN future[-1].o WHEN new AND op = 'set' THEN list_append(list_filter(o, lambda e: split_part(e, '|', 1) <> key), key || '|' || value)
+      WHEN new AND op = 'clear' THEN list_filter(o, lambda e: split_part(e, '|', 1) <> key) ELSE o END,
+    CASE WHEN back THEN past[-1].m WHEN forth THEN future[-1].m WHEN new AND op = 'add' THEN list_append(m, key) WHEN new AND op = 'remove' THEN list_filter(m, lambda e: e <> key) ELSE m END,
+    CASE WHEN back THEN past[1:len(past) - 1] WHEN forth THEN list_append(past, {{'o': o, 'm': m}}) WHEN new THEN list_append(past, {{'o': o, 'm': m}})[greatest(1, len(past) + 2 - {dc.HISTORY}):] ELSE past END,
+    CASE WHEN back THEN list_append(future, {{'o': o, 'm': m}}) WHEN forth THEN future[1:len(future) - 1] WHEN new THEN [] ELSE future END
+  FROM (SELECT l.doc_id, l.n, l.op, l.key, l.value, s.o, s.m, s.past, s.future, l.op = 'undo' AND len(s.past) > 0 AS back, l.op = 'redo' AND len(s.future) > 0 AS forth,
+      CASE l.op WHEN 'set' THEN NOT list_contains(s.o, l.key || '|' || l.value) WHEN 'clear' THEN len(list_filter(s.o, lambda e: split_part(e, '|', 1) = l.key)) > 0 WHEN 'add' THEN true WHEN 'remove' THEN list_contains(s.m, l.key) ELSE false END AS new
+    FROM s JOIN log l ON l.doc_id = s.doc_id AND l.n = s.n + 1)),
+last AS (SELECT s.* FROM s JOIN (SELECT doc_id, max(n) AS n FROM log GROUP BY doc_id) e ON e.doc_id = s.doc_id AND e.n = s.n)
+SELECT doc_id, split_part(e, '|', 1) AS key, split_part(e, '|', 2) AS override, false AS manual, can_undo, can_redo FROM (SELECT doc_id, unnest(o) AS e, len(past) > 0 AS can_undo, len(future) > 0 AS can_redo FROM last)
+UNION ALL SELECT doc_id, unnest(m), NULL, true, len(past) > 0, len(future) > 0 FROM last"""
+)
 def decision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.replay(log(spark, sf_dir))
 
@@ -470,23 +530,33 @@ def manual_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SETTINGS = [
-    (0, '{"version":1,"settings":{"thresholds":{"auto":0.7,"uncertain":0.65},"showUncertain":false,"maskPadding":{"x":30,"y":-2},"maskOpacity":0.1}}', 0.7, 0.65, 12.0, 0.0, 0.5, False),
-    (1, '{"version":1,"settings":{"thresholds":{"auto":"high","uncertain":0.9}}}', 0.85, 0.85, 2.0, 1.0, 1.0, True),
-    (2, '{"version":2,"settings":{"thresholds":{"auto":0.7}}}', 0.85, 0.6, 2.0, 1.0, 1.0, True),
-    (3, "not json", 0.85, 0.6, 2.0, 1.0, 1.0, True),
-    (4, None, 0.85, 0.6, 2.0, 1.0, 1.0, True),
-    (5, '{"version":1,"settings":{"thresholds":{"auto":0.5},"showUncertain":"no"}}', 0.5, 0.5, 2.0, 1.0, 1.0, True),
-    (6, '{"version":1}', 0.85, 0.6, 2.0, 1.0, 1.0, True),
+    (-1, '{"version":1,"settings":{"thresholds":{"auto":0.7,"uncertain":0.65},"showUncertain":false,"maskPadding":{"x":30,"y":-2},"maskOpacity":0.1}}'),
+    (-2, '{"version":1,"settings":{"thresholds":{"auto":"high","uncertain":0.9}}}'),
+    (-3, '{"version":2,"settings":{"thresholds":{"auto":0.7}}}'),
+    (-4, "not json"),
+    (-5, None),
+    (-6, '{"version":1,"settings":{"thresholds":{"auto":0.5},"showUncertain":"no"}}'),
+    (-7, '{"version":1}'),
 ]
+_WRAP = "CASE WHEN event_id % 2 = 0 THEN props ELSE '{\"version\":1,\"settings\":{\"thresholds\":{\"auto\":' || CAST(event_id % 120 AS VARCHAR) || 'e-2,\"uncertain\":' || CAST(event_id % 70 AS VARCHAR) || 'e-2}}}' END"
+
+
+def _told_sql(path: str, least: float, most: str, fallback: float) -> str:
+    full = f"'$.settings.{path}'"
+    return f"CASE WHEN ours AND json_type(doc, {full}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN least({most}, greatest({least}::DOUBLE, CAST(json_extract(doc, {full}) AS DOUBLE))) ELSE least({fallback}::DOUBLE, {most}) END"
 
 
 @query(
-    f"""WITH {values("t", "id, raw, auto, uncertain, pad_x, pad_y, opacity, shown", _SETTINGS)}
-SELECT CAST(id AS INTEGER) AS id, CAST(auto AS DOUBLE) AS auto, CAST(uncertain AS DOUBLE) AS uncertain, CAST(pad_x AS DOUBLE) AS pad_x, CAST(pad_y AS DOUBLE) AS pad_y, CAST(opacity AS DOUBLE) AS opacity, shown FROM t"""
+    f"""WITH {values("t", "id, raw", _SETTINGS)}, every AS (SELECT id, raw FROM t UNION ALL SELECT event_id, {_WRAP} FROM events),
+parsed AS (SELECT id, CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END::JSON AS doc FROM every),
+known AS (SELECT *, coalesce(CAST(json_extract(doc, '$.version') AS VARCHAR) = '1', false) AS ours FROM parsed),
+a AS (SELECT *, {_told_sql("thresholds.auto", 0.5, "0.99::DOUBLE", 0.85)} AS auto FROM known)
+SELECT CAST(id AS BIGINT) AS id, auto, {_told_sql("thresholds.uncertain", 0.3, "auto", 0.6)} AS uncertain, {_told_sql("maskPadding.x", 0.0, "12.0::DOUBLE", 2.0)} AS pad_x, {_told_sql("maskPadding.y", 0.0, "12.0::DOUBLE", 1.0)} AS pad_y,
+  {_told_sql("maskOpacity", 0.5, "1.0::DOUBLE", 1.0)} AS opacity, CASE WHEN ours AND json_type(doc, '$.settings.showUncertain') = 'BOOLEAN' THEN CAST(json_extract(doc, '$.settings.showUncertain') AS BOOLEAN) ELSE true END AS shown FROM a"""
 )
 def settings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in _SETTINGS], "id int, raw string").withColumn("s", settings.parse(F.col("raw")))
-    again = rows.withColumn("s", settings.parse(settings.dump(F.col("s"))))
+    rows = spark.createDataFrame(_SETTINGS, "id long, raw string").unionByName(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_WRAP.replace("VARCHAR", "STRING")).alias("raw")))
+    again = rows.withColumn("s", settings.parse(F.col("raw"))).withColumn("json", settings.dump(F.col("s"))).withColumn("s", settings.parse(F.col("json")))
     return again.select("id", "s.auto", "s.uncertain", "s.pad_x", "s.pad_y", "s.opacity", F.col("s.showUncertain").alias("shown"))
 
 
@@ -503,21 +573,38 @@ def removed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
 
 
-_ERRORS = [("password", "", False, False, "password-required"), ("password", "", True, False, "password-incorrect"), ("password", "", False, True, "password-incorrect"), ("invalid", "bad", False, False, "corrupt"), ("other", "Unknown ENCRYPTion", False, False, "unsupported"), ("other", "boom", False, False, "unknown"), ("other", None, False, False, "unknown")]
+_ERRORS = [("password", "", False, False), ("password", "", True, False), ("password", "", False, True), ("invalid", "bad", False, False), ("other", "Unknown ENCRYPTion", False, False), ("other", "boom", False, False), ("other", None, False, False)]
+_EVENT_ERRORS = "SELECT CASE event_id % 3 WHEN 0 THEN 'password' WHEN 1 THEN 'invalid' ELSE 'other' END AS kind, event_type || CASE WHEN event_id % 5 = 0 THEN ' Encrypted' ELSE '' END AS message, event_id % 2 = 0 AS wrong, event_id % 7 = 0 AS password FROM events"
 
 
-@query(f"WITH {values('t', 'kind, message, wrong, password, error', _ERRORS)} SELECT kind, message, wrong, password, error FROM t")
+@query(
+    f"""WITH {values("t", "kind, message, wrong, password", _ERRORS)}, every AS (SELECT kind, message, wrong, password FROM t UNION ALL {_EVENT_ERRORS})
+SELECT kind, message, wrong, password, CASE WHEN kind = 'password' AND (wrong OR password) THEN 'password-incorrect' WHEN kind = 'password' THEN 'password-required' WHEN kind = 'invalid' THEN 'corrupt'
+  WHEN contains(lower(coalesce(message, '')), 'encrypt') THEN 'unsupported' ELSE 'unknown' END AS error, count(*) AS n FROM every GROUP BY ALL"""
+)
 def load_error_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:4] for r in _ERRORS], "kind string, message string, wrong boolean, password boolean")
-    return rows.withColumn("error", load_error(F.col("kind"), F.coalesce("message", F.lit("")), F.col("wrong"), F.col("password")))
+    rows = spark.createDataFrame(_ERRORS, "kind string, message string, wrong boolean, password boolean")
+    e = F.col("event_id")
+    told = table(spark, sf_dir, "events").select(
+        F.when(e % 3 == 0, "password").when(e % 3 == 1, "invalid").otherwise("other").alias("kind"),
+        F.concat("event_type", F.when(e % 5 == 0, " Encrypted").otherwise("")).alias("message"), (e % 2 == 0).alias("wrong"), (e % 7 == 0).alias("password"),
+    )
+    rows = rows.unionByName(told).withColumn("error", load_error(F.col("kind"), F.coalesce("message", F.lit("")), F.col("wrong"), F.col("password")))
+    return rows.groupBy("kind", "message", "wrong", "password", "error").agg(F.count("*").alias("n"))
 
 
-_PATHS = [("/a/b/Report.PDF", "Report.PDF", True, "Report-redacted.pdf"), ("C:\\docs\\x.pdf", "x.pdf", True, "x-redacted.pdf"), ("/a%20b/c%2Bd+e.txt", "c+d+e.txt", False, "c+d+e.txt-redacted.pdf"), ("plain", "plain", False, "plain-redacted.pdf"), ("/x/100%", "100%", False, "100%-redacted.pdf")]
+_PATHS = ["/a/b/Report.PDF", "C:\\docs\\x.pdf", "/a%20b/c%2Bd+e.txt", "plain", "/x/100%", "/d/%C3%A9t%C3%A9.pdf", ""]
 
 
-@query(f"WITH {values('t', 'path, name, is_pdf, redacted', _PATHS)} SELECT path, name, is_pdf, redacted FROM t")
+@query(
+    f"""WITH {values("t", "path", [(p,) for p in _PATHS])}, every AS (SELECT path FROM t UNION ALL SELECT url FROM pages UNION ALL SELECT replace(url, '?', '%3F') || '.pdf' FROM pages),
+n AS (SELECT path, regexp_extract(url_decode(path), '([^/\\\\]*)$', 1) AS name FROM every)
+SELECT path, name, lower(name) LIKE '%.pdf' AS is_pdf, regexp_replace(name, '[.]pdf$', '', 'i') || '-redacted.pdf' AS redacted FROM n"""
+)
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:1] for r in _PATHS], "path string").withColumn("name", tx.basename(tx.percent_decode(F.col("path"))))
+    urls = table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
+    rows = spark.createDataFrame([(p,) for p in _PATHS], "path string").unionByName(urls).unionByName(urls.select(F.concat(F.replace("path", F.lit("?"), F.lit("%3F")), F.lit(".pdf")).alias("path")))
+    rows = rows.withColumn("name", tx.basename(tx.percent_decode(F.col("path"))))
     return rows.select("path", "name", tx.is_pdf_name(F.col("name")).alias("is_pdf"), tx.redacted_name(F.col("name")).alias("redacted"))
 
 
@@ -532,10 +619,3 @@ def debug_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LAID}, {OVERRIDDEN} SELECT doc_id, line_id, CASE WHEN tier = 'uncertain' THEN 'Uncertain region, ' ELSE 'Detected region, ' END || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '%' AS label FROM tiered")
 def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("doc_id", "line_id", review.spoken(F.col("status"), F.col("tier"), F.col("confidence")).alias("label"))
-
-
-@query(f"WITH {LINES}, f AS (SELECT doc_id, line_no, text, length(text) % 2 = 0 AS vi FROM lines) SELECT f.doc_id, f.line_no, f.vi FROM f JOIN (SELECT DISTINCT doc_id, text FROM lines) l ON l.doc_id = f.doc_id AND l.text = f.text")
-def fixture_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    truth = rows.withColumn("vi", F.length("text") % 2 == 0)
-    return truth.join(rows.select("doc_id", "text").distinct(), ["doc_id", "text"]).select("doc_id", "line_no", "vi")

@@ -137,3 +137,14 @@ def _viewport(view: Column, turn: Column, scale: Column) -> Column:
 
 def radians(d: Column) -> Column:
     return d * math.pi / 180
+
+
+def rectangle(m: Column, b: Column) -> Column:
+    """A box under a matrix as [x0, y0, x1, y1]."""
+    mapped = map_box(m, b)
+    return F.array(mapped["x"], mapped["y"], right(mapped), top(mapped))
+
+
+def share_of(b: Column, width: Column, height: Column) -> Column:
+    """A box as shares, 0 to 1, of a page of that width and height."""
+    return box(b["x"] / width, b["y"] / height, b["width"] / width, b["height"] / height)

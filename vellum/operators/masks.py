@@ -26,44 +26,44 @@ def candidates(lines: DataFrame, detections: DataFrame, pad: tuple[float, float]
     return masks.withColumns({"key": key, "mask": g.pad(F.col("bbox"), *pad), "status": F.lit("auto")})
 
 
-_CLIP = f"""
-aggregate(
-  near,
-  named_struct('l', mask.x, 'r', mask.x + mask.width, 'b', mask.y, 't', mask.y + mask.height),
-  (m, o) -> CASE
-    WHEN NOT (least(m.r, o.bbox.x + o.bbox.width) > greatest(m.l, o.bbox.x) AND least(m.t, o.bbox.y + o.bbox.height) > greatest(m.b, o.bbox.y)) THEN m
-    WHEN abs(rotation) < 1 AND abs(o.rotation) < 1 AND abs(baseline - o.baseline) > {ROW_EM} * greatest(font_size, o.font_size) THEN
-      IF(o.baseline < baseline,
-        named_struct('l', m.l, 'r', m.r, 'b', greatest(m.b, least(baseline,
-          IF(o.baseline + {CAP_EM} * o.font_size <= baseline - {DESCENDER_EM} * font_size, o.baseline + {CAP_EM} * o.font_size,
-             (o.baseline + {CAP_EM} * o.font_size + baseline - {DESCENDER_EM} * font_size) / 2))), 't', m.t),
-        named_struct('l', m.l, 'r', m.r, 'b', m.b, 't', least(m.t, greatest(baseline + 0.5 * font_size,
-          IF(o.baseline >= baseline + {CAP_EM} * font_size, o.baseline, (o.baseline + baseline + {CAP_EM} * font_size) / 2)))))
-    WHEN o.bbox.x >= bbox.x + bbox.width / 2 THEN
-      named_struct('l', m.l, 'r', least(m.r, greatest(bbox.x + bbox.width, (bbox.x + bbox.width + o.bbox.x) / 2)), 'b', m.b, 't', m.t)
-    WHEN o.bbox.x + o.bbox.width <= bbox.x + bbox.width / 2 THEN
-      named_struct('l', greatest(m.l, least(bbox.x, (o.bbox.x + o.bbox.width + bbox.x) / 2)), 'r', m.r, 'b', m.b, 't', m.t)
-    ELSE m END)"""
+#: What a neighbour o allows the mask of a line: no further than these, infinite where it sets no bound. Across rows it is the
+#: letters' height that counts, within a row the side it stands on.
+_FAR = "double('infinity')"
+_CAP, _DOWN, _OWN_CAP = f"o.baseline + {CAP_EM} * o.font_size", f"baseline - {DESCENDER_EM} * font_size", f"baseline + {CAP_EM} * font_size"
+_OTHER_ROW = f"abs(rotation) < 1 AND abs(o.rotation) < 1 AND abs(baseline - o.baseline) > {ROW_EM} * greatest(font_size, o.font_size)"
+_BOUNDS = f"""
+transform(near, o -> transform(array(({_OTHER_ROW})), apart -> named_struct(
+  'box', o.bbox,
+  'low', IF(apart AND o.baseline < baseline, least(baseline, IF({_CAP} <= {_DOWN}, {_CAP}, ({_CAP} + {_DOWN}) / 2)), -{_FAR}),
+  'high', IF(apart AND o.baseline >= baseline, greatest(baseline + 0.5 * font_size, IF(o.baseline >= {_OWN_CAP}, o.baseline, (o.baseline + {_OWN_CAP}) / 2)), {_FAR}),
+  'left', IF(NOT apart AND o.bbox.x < bbox.x + bbox.width / 2 AND o.bbox.x + o.bbox.width <= bbox.x + bbox.width / 2, least(bbox.x, (o.bbox.x + o.bbox.width + bbox.x) / 2), -{_FAR}),
+  'right', IF(NOT apart AND o.bbox.x >= bbox.x + bbox.width / 2, greatest(bbox.x + bbox.width, (bbox.x + bbox.width + o.bbox.x) / 2), {_FAR})))[0])"""
+_CUT = """
+aggregate(bounds, named_struct('l', mask.x, 'r', mask.x + mask.width, 'b', mask.y, 't', mask.y + mask.height), (m, o) ->
+  IF(least(m.r, o.box.x + o.box.width) > greatest(m.l, o.box.x) AND least(m.t, o.box.y + o.box.height) > greatest(m.b, o.box.y),
+     named_struct('l', greatest(m.l, o.left), 'r', least(m.r, o.right), 'b', greatest(m.b, o.low), 't', least(m.t, o.high)), m))"""
 
 
 def clip(masks: DataFrame, visible: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """masks with mask cut back from the letters of the visible lines of their page, in reading order, and to the page.
 
-    The join's box test is on the mask before any cut; cuts only make it smaller, so no neighbour is missed. Masks that
-    nothing is left of go. pages: doc_id, page_index, page (a box)."""
-    other = F.struct("ordinal", "bbox", "font_size", "baseline", "rotation")
-    near = visible.select(*PAGE, F.col("line_id").alias("other_id"), other.alias("other"))
-    pairs = masks.alias("m").join(near, PAGE).filter((F.col("other_id") != F.col("line_id")) & g.meets(F.col("mask"), F.col("other.bbox")))
-    near = pairs.groupBy(*PAGE, "line_id", "key").agg(F.array_sort(F.collect_list("other")).alias("near"))
-    out = masks.join(near, [*PAGE, "line_id", "key"], "left")
-    empty = F.expr("filter(array(struct(ordinal, bbox, font_size, baseline, rotation)), o -> false)")
-    out = out.withColumn("near", F.coalesce("near", empty)).withColumn("cut", F.expr(_CLIP))
+    A page's lines are collected once, and each mask takes those it meets before any cut; cuts only make it smaller, so no
+    neighbour is missed. One shuffle by page. Masks that nothing is left of go. pages: doc_id, page_index, page (a box)."""
+    line = F.struct("ordinal", "line_id", "bbox", "font_size", "baseline", "rotation")
+    around = visible.groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("around"))
+    met = lambda o: (o["line_id"] != F.col("line_id")) & g.meets(F.col("mask"), o["bbox"])
+    out = masks.join(around, PAGE, "left").withColumn("near", F.coalesce(F.filter("around", met), F.expr("filter(array(struct(ordinal, line_id, bbox, font_size, baseline, rotation)), o -> false)")))
+    out = out.withColumn("bounds", F.expr(_BOUNDS)).withColumn("cut", F.expr(_CUT))
     zero = F.lit(0.0)
     box = g.box(F.col("cut.l"), F.col("cut.b"), F.greatest(zero, F.col("cut.r") - F.col("cut.l")), F.greatest(zero, F.col("cut.t") - F.col("cut.b")))
-    out = out.withColumn("mask", box).drop("near", "cut")
-    if pages is not None:
-        out = out.join(pages, PAGE).withColumn("mask", g.intersect(F.col("mask"), F.col("page"))).drop("page").filter(F.col("mask").isNotNull())
-    return out
+    return on_page(out.withColumn("mask", box).drop("around", "near", "bounds", "cut"), pages)
+
+
+def on_page(masks: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """masks cut to their page; without those that it has nothing of."""
+    if pages is None:
+        return masks
+    return masks.join(pages, PAGE).withColumn("mask", g.intersect(F.col("mask"), F.col("page"))).drop("page").filter(F.col("mask").isNotNull())
 
 
 def decide(masks: DataFrame, overrides: DataFrame, revealed: DataFrame | None = None) -> DataFrame:
@@ -77,12 +77,12 @@ def decide(masks: DataFrame, overrides: DataFrame, revealed: DataFrame | None =
 
 
 def resolve(lines: DataFrame, detections: DataFrame, overrides: DataFrame, t: Thresholds, pages: DataFrame | None = None, manual: DataFrame | None = None, revealed: DataFrame | None = None) -> DataFrame:
-    """Masks as they are shown: first it is found which lines will be masked, then masks are cut back from all others only."""
-    first = candidates(lines, detections)
-    whole = decide(clip(first, lines, pages), overrides)
-    masked = whole.filter(tier_of(t) == "auto").select(*PAGE, "line_id").distinct()
+    """Masks as they are shown: first it is found which lines will be masked, which no cut changes; then masks are cut back from all
+    others."""
+    first = on_page(candidates(lines, detections), pages)
+    masked = decide(first, overrides).filter(tier_of(t) == "auto").select(*PAGE, "line_id").distinct()
     seen = lines.join(masked, [*PAGE, "line_id"], "left_anti")
-    out = decide(clip(first, seen, pages), overrides, revealed)
+    out = decide(clip(first, seen), overrides, revealed)
     if manual is not None:
         out = out.unionByName(decide(manual, overrides, revealed), allowMissingColumns=True)
     return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellum.functions import text as tx
-from vellum.operators.verify import require_clean
+from vellum.operators.verify import merge_reports, require_clean
 
 #: Fixed value: the largest file that is read.
 MOST_BYTES = 512 << 20
@@ -72,6 +74,45 @@ def parse_pages(docs: DataFrame, parse: Callable[[bytes], list[dict]], schema: s
     return docs.select("doc_id", "content").mapInArrow(run, out)
 
 
+def write_file(path: str, content: bytes) -> None:
+    """Writes a document's bytes where they will stand, whole or not at all: a file beside it is renamed once it is complete."""
+    target = Path(path)
+    if target.suffix.lower() != ".pdf":
+        raise ValueError("the name must end in .pdf")
+    if not target.parent.is_dir():
+        raise ValueError("the folder isn't there")
+    if not content.startswith(b"%PDF-"):
+        raise ValueError("not a document of this format")
+    beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+    try:
+        beside.write_bytes(content)
+        beside.replace(target)
+    finally:
+        beside.unlink(missing_ok=True)
+
+
+def export(docs: DataFrame, redact: Callable[[DataFrame], DataFrame], checks: list[Callable[[DataFrame], DataFrame]], path: str) -> DataFrame:
+    """Redacts, lets every check look at what came out, and writes it unless one of them finds a leak. checks give reports (doc_id,
+    engine, checked, n_leaks); the merged report is returned. What is checked is what is written: it is settled in between."""
+    out = redact(docs)
+    kept = f"{path}.checking-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    out.write.parquet(kept)
+    out = spark.read.schema(out.schema).parquet(kept)
+    try:
+        report = merge_reports([check(out) for check in checks])
+        told = [r.asDict() for r in report.filter("NOT ok").limit(20).collect()]
+        if told:
+            raise ValueError(f"validation failed: redacted content can still be extracted from {[r['doc_id'] for r in told]}")
+        out.write.mode("error").parquet(path)
+        final = spark.read.schema(out.schema).parquet(path)
+        return merge_reports([check(final) for check in checks])
+    finally:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(kept)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_checked(out: DataFrame, leaks: DataFrame, path: str) -> None:
     """Writes out as a table, unless there are leaks: then it raises and nothing is written."""
     require_clean(leaks)
