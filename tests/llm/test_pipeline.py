@@ -49,3 +49,12 @@ def test_edges(spark, edges, nothing):
     one = pipeline_stages.near_dedup(spark, edges, SF).select("doc_id", "text").collect()
     prints = [brute_fingerprint(r["text"]) for r in one]
     assert len(prints) == len(set(prints))  # of repeated rows, too, one stays
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(None, text), (None, text), (7, text), (7, text), (7, text + " x"), (None, "alone here"), (None, "alone here"), (9, "nine"), (9, "nine"), (9, "other nine"), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, key string").repartition(3)
+    out = sorted((str(r["doc_id"]), r["text"] or "") for r in pipeline_stages.near_dedup(spark, docs, SF).collect())
+    near = [r for r in out if r[1].startswith("w0 ")]
+    assert len(near) == 1 and near[0][0] == "7" and out == sorted([near[0], ("None", "alone here"), ("9", "nine"), ("9", "other nine"), ("3", "")])

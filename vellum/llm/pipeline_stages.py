@@ -19,15 +19,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, the first of repeated rows; rows without
-    an id come last."""
+    """One document of each group of near-duplicates: the one with the smallest id, the first by text's hash of equal ids, one of
+    repeated rows; rows without an id come last. Rows are told apart by id and text, not by numbers, which depend on how files
+    are dealt out."""
     columns_for_python(spark)
-    row = free_column(docs, "row")
-    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))  # written once: numbers depend on how files are dealt out
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
-    groups = simhash.near_duplicates(numbered.select(key.alias("key"), "text"), id="key")
-    others = settle(groups.filter("key <> component_id").select(F.col("key.row").alias(row)))
-    return numbered.join(small(others, 16), row, "left_anti").drop(row)
+    key = free_column(docs, "key")
+    of = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    keyed = docs.withColumn(key, of)
+    groups = simhash.near_duplicates(keyed.select(key, "text"), id=key)
+    others = settle(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct())
+    again = settle(groups.groupBy(key).count().filter("count > 1").select(key))  # rows that are there more than once
+    kept = keyed.join(small(others, 32), key, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(small(again, 32), key, "left_semi").dropDuplicates([key])  # combined before the shuffle
+        kept = kept.join(small(again, 32), key, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
