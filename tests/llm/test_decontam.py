@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 from tests.llm.conftest import EDGES
@@ -173,3 +174,36 @@ def test_groups_of_blocks_give_what_one_group_gives(spark, monkeypatch):
     assert sorted((r["doc_id"], r["items"]) for r in decontam.leaks(docs, benchmark).collect()) == whole
     kept = {r["doc_id"] for r in decontam.drop_leaks(docs, benchmark).collect()}
     assert kept == {i for i, x in whole if not x}
+
+
+def test_latent_spaces_are_fitted_on_every_passage_of_every_document(spark, monkeypatch):
+    """Against all passages' rows multiplied out; more documents than the 256 that were once chosen, copies counted as often as they come."""
+    rng = random.Random(9)
+    texts = [t for t in corpus(rng, 320) for _ in range(rng.choice([1, 1, 3]))] + [None, "", "..."]
+    items = [" ".join(rng.sample(texts[i].split(), k=20)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontam, "PANEL", 500)
+    monkeypatch.setattr(decontam, "BLOCK", 7)
+    monkeypatch.setattr(decontam, "RANK", 9)
+    monkeypatch.setattr(decontam, "OVERSAMPLE", 1000)  # the subspace is the whole space, so that the leading vectors are exact
+    for table, at_once in ((1 << 24, 1 << 21), (0, 1000)):  # counted in a table; sorted, and given out many times
+        monkeypatch.setattr(decontam, "TABLE", table)
+        monkeypatch.setattr(decontam, "SORTED", at_once)
+        found = decontam.prepare(docs, decontam.sampled(docs, "doc_id", "text"), next(decontam.groups(benchmark, "item_id", "text"))[0], "text")
+        assert len(found) == 2
+        for block in found:
+            n, gram, own = len(block.idf), 0, 0
+            for t in texts:
+                w = next(decontam._chunks(pa.array([t])))
+                for a in range(0, len(w), decontam.PASSAGE):
+                    row = np.bincount(block.places(w.hash[a : a + decontam.PASSAGE])[1], minlength=n) * block.idf
+                    gram = gram + np.outer(row, row)
+            rows = [np.bincount(block.places(t)[1], minlength=n) for t in block.terms]
+            for r in rows:
+                own = own + np.outer(r * block.idf, r * block.idf) / ((r * block.idf) ** 2).sum()
+            lead = np.linalg.eigh(gram / np.trace(gram) + own / np.trace(own))[1][:, -decontam.RANK :]
+            latent = block.idf[:, None] * lead
+            sizes = [np.sqrt((block.idf[block.places(t)[1]] ** 2).sum()) for t in block.terms]
+            want = latent @ np.stack([r @ latent / s for r, s in zip(rows, sizes, strict=True)]).T
+            assert np.allclose(block.near, want, atol=1e-3 * np.abs(want).max())

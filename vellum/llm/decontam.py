@@ -5,9 +5,10 @@ an item is cut by few of them. Terms weigh by their inverse frequency over all d
 number of different surroundings (the terms before and after it), so copies of an item or a passage, however many, count once;
 it always weighs something. Other terms only add to a passage's weight; very frequent ones among them weigh nothing.
 The benchmark is taken in blocks of ``BLOCK`` items, blocks in groups of at most ``GROUP_TERMS`` terms; each group reads the
-documents once to weigh its terms and once to search, with what it broadcasts bounded by that. For each block a randomised SVD, its products taken over distributed rows
-(the items, and a bounded sample of passages), gives a latent space for the block's terms. Every passage of every document is
-held against every item there by cosine; passages without enough weight on the block's terms are left out beforehand, as their
+documents once to weigh its terms and count how often they share a passage, and once to search, with what it broadcasts bounded
+by that. For each block a randomised SVD of the TF-IDF rows of its items and of all passages of all documents gives a latent
+space for the block's terms; its products are taken over the counted pairs of terms, which are distributed and say all that the
+passages' rows do. Every passage of every document is held against every item there by cosine; passages without enough weight on the block's terms are left out beforehand, as their
 cosine can't reach the bound. Candidates are aligned to the item, and the longest common subsequence of terms decides: most of
 the item, or a good part of it together with nearly all of its answer (its last sentence).
 
@@ -35,8 +36,9 @@ BLOCK = 256
 #: Bounds of what is held at once: different terms of a group's blocks (each has BLOCK numbers), bytes of items on the driver.
 GROUP_TERMS, SLICE_BYTES = 1 << 16, 32 << 20
 BINS = 1 << 16
-#: Bounds of the sample that the latent space is fitted on, beside the items.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 256, 4096
+#: Pairs of terms are counted in a table of so many numbers, or sorted, so many at a time, where a group's blocks have more; they
+#: are kept in panels of about so many numbers.
+TABLE, SORTED, PANEL = 1 << 24, 1 << 21, 1 << 17
 RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
 #: Of the passages; terms outside the benchmark that are more frequent weigh nothing.
 FREQUENT = 0.05
@@ -132,13 +134,127 @@ def different(registers: np.ndarray) -> np.ndarray:
     return np.where((n <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(1, empty)), n)
 
 
-def weigh(docs: DataFrame, blocks: list[Block], text: str) -> None:
-    """Sets idf for the blocks' terms and, by bin, for all others, from their frequencies over all documents: one reading."""
+class Pairs:
+    """Counts by key, keys being under size: in a table if told so, else sorted. ``take`` gives them out and starts anew."""
+
+    def __init__(self, size: int, table: bool, at_once: int):
+        self.table = np.zeros(size, np.int32) if table else None
+        self.at_once = at_once
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.added, self.new = 0, []
+
+    def add(self, keys: np.ndarray, n: int) -> None:
+        if self.table is not None:
+            np.add.at(self.table, keys, np.int32(n))
+            self.added += n * len(keys)
+            return
+        self.new.append((keys, n))
+        self.added += len(keys)
+        if self.added >= self.at_once:
+            self._merge()
+
+    def _merge(self) -> None:
+        n = np.concatenate((self.n, *(np.full(len(k), x) for k, x in self.new)))
+        self.keys, at = np.unique(np.concatenate((self.keys, *(k for k, _ in self.new))), return_inverse=True)
+        self.n = np.bincount(at, weights=n, minlength=len(self.keys)).astype(np.int64)
+        self.added, self.new = 0, []
+
+    def full(self) -> bool:
+        """Whether a number of the table might soon not fit, or too many are held."""
+        return self.added >= 1 << 30 if self.table is not None else len(self.keys) >= self.at_once
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, ascending, counts)"""
+        if self.table is None:
+            self._merge()
+            out = self.keys, self.n
+            self.keys, self.n = self.keys[:0], self.n[:0]
+        else:
+            keys = np.flatnonzero(self.table)
+            out = keys, self.table[keys].astype(np.int64)
+            self.table[keys] = 0
+            self.added = 0
+        return out
+
+
+_COUNTS = "block int, panel int, at binary, n binary"
+#: In place of a block, and panels of it: how often each bin's terms come, and all; what the registers hold.
+_WEIGHTS, _BINS, _REGISTERS = -1, 0, 1
+
+
+def _counted(block: int, panel: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    row = [pa.array([block], pa.int32()), pa.array([panel], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(row, ["block", "panel", "at", "n"])
+
+
+def _numbers(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(at, np.int32), np.frombuffer(n, np.int64)
+
+
+def _panel_rows(n: int) -> int:
+    """How many of n terms have their pairs in one panel."""
+    return max(1, PANEL // max(1, n))
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the same block and panel, which follow each other, made one: a panel is held at a time."""
+    of, total = None, np.zeros(0, np.int64)
+    for batch in batches:
+        for block, panel, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != (block, panel):
+                if of:
+                    yield _counted(*of, np.flatnonzero(total), total[total != 0])
+                of, total = (block, panel), np.zeros(0, np.int64)
+            at, n = _numbers(at, n)
+            if len(at) and at[-1] >= len(total):
+                total = np.append(total, np.zeros(at[-1] + 1 - len(total), np.int64))
+            total[at] = np.maximum(total[at], n) if of == (_WEIGHTS, _REGISTERS) else total[at] + n
+    if of:
+        yield _counted(*of, np.flatnonzero(total), total[total != 0])
+
+
+def weigh(texts: DataFrame, blocks: list[Block]) -> DataFrame:
+    """Sets idf for the blocks' terms and, by bin, for all others, from their frequencies over all documents: one reading. Returns
+    what that reading counts beside them: for each block, in panels, how often two of its terms stand in one passage, the lesser
+    term first. A pair counts 2, a term with itself 1, so that these numbers and their transpose add up to twice the product of
+    the passages' rows of counts with themselves."""
     every = _vocabulary([t for b in blocks for t in b.terms])
     size = len(every.terms) * REGISTERS
+    sizes = [len(b.vocabulary.terms) for b in blocks]
+    starts = np.concatenate(([0], np.cumsum([n * n for n in sizes]))).astype(np.int64).tolist()
+    in_table, at_once, high = starts[-1] <= TABLE, SORTED, [_panel_rows(n) for n in sizes]
+    own = np.full((len(blocks), len(every.terms)), -1, np.int32)  # where a term stands in each block
+    for b, block in enumerate(blocks):
+        own[b, every.places(block.vocabulary.terms)[1]] = np.arange(sizes[b])
+
+    def count(pairs: Pairs, w: W.Words, i: np.ndarray, at: np.ndarray) -> None:
+        doc = w.doc[i]
+        passage = doc * (1 << 32) + (i - w.first[doc]) // PASSAGE
+        for b, n in enumerate(sizes):
+            place = own[b, at].astype(np.int64)
+            known = place >= 0
+            place, here = place[known], passage[known]
+            pairs.add(starts[b] + place * (n + 1), 1)
+            for apart in range(1, PASSAGE):
+                same = np.flatnonzero(here[apart:] == here[:-apart])
+                if not len(same):
+                    break
+                x, y = place[same], place[same + apart]
+                pairs.add(starts[b] + np.minimum(x, y) * n + np.maximum(x, y), 2)
+
+    def panels(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        keys, n = pairs.take()
+        bounds = np.searchsorted(keys, starts)
+        for b, wide in enumerate(sizes):
+            mine, its = keys[bounds[b] : bounds[b + 1]] - starts[b], n[bounds[b] : bounds[b + 1]]
+            span = wide * high[b]
+            edges = np.searchsorted(mine, np.arange(0, wide * wide + span, span))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                yield _counted(b, p, mine[edges[p] : edges[p + 1]] - p * span, its[edges[p] : edges[p + 1]])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, most = np.zeros(BINS + 1, np.int64), np.zeros(size, np.int64)
+        pairs = Pairs(starts[-1], in_table, at_once)
         for batch in batches:
             for w in _chunks(batch.column(0)):
                 i, at = every.places(w.hash)
@@ -148,80 +264,87 @@ def weigh(docs: DataFrame, blocks: list[Block], text: str) -> None:
                 np.maximum.at(most, spot[more], rank[more])
                 total[:BINS] += np.bincount(_bin(w.hash), minlength=BINS)
                 total[BINS] += len(w)
-        total = np.concatenate((total, most))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
-
-    total = np.zeros(BINS + 1 + size)
-    merged = F.when(F.col("at") <= BINS, F.sum("n")).otherwise(F.max("n"))
-    sums = docs.select(F.col(text).cast("string")).mapInArrow(tally, "at int, n long").groupBy("at").agg(merged.alias("n")).toArrow()
-    total[sums["at"].to_numpy()] = sums["n"].to_numpy()
+                count(pairs, w, i, at)
+                if pairs.full():
+                    yield from panels(pairs)
+        yield from panels(pairs)
+        yield _counted(_WEIGHTS, _BINS, np.flatnonzero(total), total[total != 0])
+        yield _counted(_WEIGHTS, _REGISTERS, np.flatnonzero(most), most[most != 0])
+
+    rows = texts.mapInArrow(tally, _COUNTS).repartition("block", "panel").sortWithinPartitions("block", "panel")
+    counted = settle(rows.mapInArrow(_add_up, _COUNTS))
+    total, most = np.zeros(BINS + 1), np.zeros(size, np.int64)
+    for _, panel, at, n in counted.filter(F.col("block") == _WEIGHTS).collect():  # two rows, as long as the bins and registers
+        at, n = _numbers(at, n)
+        (total if panel == _BINS else most)[at] = n
     passages = max(1.0, total[BINS] / PASSAGE)
-    bins, terms = total[:BINS], different(total[BINS + 1 :].reshape(-1, REGISTERS))
+    bins, terms = total[:BINS], different(most.reshape(-1, REGISTERS))
     bin_idf = np.log(1 + passages / np.maximum(1, bins))
     bin_idf[bins > FREQUENT * passages] = 0
     idf = np.log(1 + passages / np.maximum(1, terms))
     for block in blocks:
         block.bin_square, block.idf = bin_idf**2, idf[every.places(block.vocabulary.terms)[1]]
+    return counted.filter(F.col("block") != _WEIGHTS)
 
 
 def sampled(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """The texts that latent spaces are fitted on: those of the SAMPLE_DOCS smallest hashed ids."""
-    chosen = docs.select(F.col(id).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    return settle(docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id", "left_semi").select("text"))
+    """The texts that terms are weighed and latent spaces fitted on: every one. (Callers know it by this name.)"""
+    return docs.select(F.col(text).cast("string").alias("text"))
 
 
-def fit(sample: DataFrame, block: Block, seed: int = 11) -> None:
-    """Sets the block's latent space: the leading right singular vectors of the TF-IDF rows of items and sampled passages."""
-    spark = sample.sparkSession
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in _chunks(batch.column(0)):
-                i, at = block.places(w.hash)
-                group = w.doc[i] * (1 << 32) + (i - w.first[w.doc[i]]) // PASSAGE
-                edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-                rows = pa.ListArray.from_arrays(np.append(edges, len(at)).astype(np.int32), pa.array(at.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows], ["terms"])
-
-    sampled = sample.mapInArrow(passages, "terms array<int>").orderBy(F.xxhash64("terms"), "terms").limit(SAMPLE_PASSAGES).select("terms", F.lit(1.0).alias("weight"))
-    own = [([int(x) for x in block.places(t)[1]], 4.0) for t in block.terms]  # BLOCK rows at most
-    rows = sampled.unionByName(spark.createDataFrame(own, "terms array<int>, weight double")).repartition(4).persist()
+def fit(counted: DataFrame, block: Block, seed: int = 11) -> None:
+    """Sets the block's latent space: the leading right singular vectors of the TF-IDF rows of its items and of all passages, whose
+    pairs of terms are counted. Items as a whole weigh as much as all passages do, however many those are."""
     n, idf = len(block.vocabulary.terms), block.idf
-    width = min(n, RANK + OVERSAMPLE)
+    width, high = min(n, RANK + OVERSAMPLE), _panel_rows(n)
+    places = [block.places(t)[1] for t in block.terms]
+    rows = []  # the items': BLOCK at most, their squares adding up to 1
+    for at, times in (np.unique(x, return_counts=True) for x in places):
+        v = idf[at] * times
+        rows.append((at, v / np.sqrt((v * v).sum() * len(places))))
 
-    def gram_times(q: np.ndarray) -> np.ndarray:
-        """A' A q, the rows of A staying where they are."""
+    def passages_times(q: np.ndarray) -> tuple[np.ndarray, float]:
+        """A' A q and the trace of A' A for the rows A of the passages, the counts staying where they are."""
+        scaled = idf[:, None] * q
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(q)
+            out, trace = np.zeros_like(scaled), 0.0
             for batch in batches:
-                for terms, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if terms:
-                        at = np.array(terms)
-                        v = idf[at]
-                        size = np.sqrt((v * v).sum())
-                        if size > 0:
-                            v = v * (weight / size)
-                            np.add.at(out, at, v[:, None] * (v @ q[at])[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["part"])
-
-        return sum(np.frombuffer(r[0], np.float32).reshape(q.shape).astype(float) for r in rows.mapInArrow(part, "part binary").toLocalIterator())
+                for panel, at, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    at, m = _numbers(at, m)
+                    low, top = panel * high, min(n, panel * high + high)
+                    own = np.zeros((top - low, n))
+                    own.reshape(-1)[at] = m
+                    out[low:top] += own @ scaled / 2
+                    out += own.T @ scaled[low:top] / 2
+                    trace += float(own[np.arange(top - low), np.arange(low, top)] @ idf[low:top] ** 2)
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary()), pa.array([trace])], ["part", "trace"])
+
+        total, trace = np.zeros_like(q), 0.0
+        for r in counted.select("panel", "at", "n").coalesce(4).mapInArrow(part, "part binary, trace double").toLocalIterator():
+            total += np.frombuffer(r[0], np.float32).reshape(q.shape)
+            trace += r[1]
+        return idf[:, None] * total, trace
+
+    def gram_times(q: np.ndarray) -> np.ndarray:
+        out, trace = passages_times(q)
+        out /= trace or 1.0
+        for at, v in rows:
+            out[at] += v[:, None] * (v @ q[at])[None, :]
+        return out
 
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
     for _ in range(POWER_STEPS):
         q = np.linalg.qr(gram_times(q))[0]
     values, turn = np.linalg.eigh(q.T @ gram_times(q))
-    rows.unpersist()
     keep = np.argsort(values)[::-1][:RANK]
     basis = q @ turn[:, keep]
     latent = (idf[:, None] * basis).astype(np.float32)
     items = np.zeros((len(block.ids), basis.shape[1]), np.float32)
-    for j, t in enumerate(block.terms):
-        v = latent[block.places(t)[1]].sum(0)
-        items[j] = v / max(1e-9, np.sqrt((idf[block.places(t)[1]] ** 2).sum()))
+    for j, at in enumerate(places):
+        items[j] = latent[at].sum(0) / max(1e-9, np.sqrt((idf[at] ** 2).sum()))
     block.near = latent @ items.T  # sums of these are a passage's products with the items
-    block.weights = [idf[block.places(t)[1]].tolist() for t in block.terms]
+    block.weights = [idf[at].tolist() for at in places]
     block.spots = [_spots(t.tolist()) for t in block.terms]
 
 
@@ -332,19 +455,18 @@ def groups(benchmark: DataFrame, item: str, item_text: str) -> Iterator[tuple[li
         yield held, i + 1 < slices
 
 
-def prepare(docs: DataFrame, sample: DataFrame, blocks: list[Block], text: str) -> list[Block]:
-    """The blocks, weighed and fitted."""
-    if blocks:
-        weigh(docs, blocks, text)
-    for block in blocks:
-        fit(sample, block)
+def prepare(docs: DataFrame, texts: DataFrame, blocks: list[Block], text: str) -> list[Block]:
+    """The blocks, weighed and fitted on all texts."""
+    counted = weigh(texts, blocks) if blocks else None
+    for b, block in enumerate(blocks):
+        fit(counted.filter(F.col("block") == b), block)
     return blocks
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: id, items (the items found in it, ascending), share (of the item it holds most of) and
     contaminated."""
-    sample = sampled(docs, id, text)
+    texts = sampled(docs, id, text)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("array<bigint>").alias("items"), F.lit(0.0).alias("share"))
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.LongType()))])
     schema = schema.add("share", "double")
@@ -365,14 +487,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
         return rows.mapInArrow(run, schema)
 
     for blocks, more in groups(benchmark, item, item_text):
-        rows = search(prepare(docs, sample, blocks, text), more)
+        rows = search(prepare(docs, texts, blocks, text), more)
         rows = settle(rows) if more else rows
     return rows.select(F.col("id").alias(id), "items", "share", (F.size("items") > 0).alias("contaminated"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in which no item is found, all columns as they were."""
-    sample, at, rows = sampled(docs, id, text), docs.columns.index(text), docs
+    texts, at, rows = sampled(docs, id, text), docs.columns.index(text), docs
 
     def clean(blocks: list[Block]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(blocks)
@@ -385,7 +507,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
         return rows.mapInArrow(run, docs.schema)
 
     for blocks, more in groups(benchmark, item, item_text):
-        rows = clean(prepare(docs, sample, blocks, text))
+        rows = clean(prepare(docs, texts, blocks, text))
         rows = settle(rows) if more else rows
     return rows
 
